@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.llm import chat, mixing, token_counts
+from bitweave.llm import chat, embedding_dedup, mixing, token_counts
 from bitweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,10 @@ from h
 @query("op5_mix_sources", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+# Every link's pairs within a label; only for tables small enough for all pairs, as here. No SQL is registered: on whole
+# tables of production size all pairs are too slow, so the tests compare with brute force on a fixture.
+@query("op6_embedding_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
