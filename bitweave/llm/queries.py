@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.llm import chat, embedding_dedup, mixing, token_counts
+from bitweave.llm import chat, embedding_dedup, language_id, mixing, token_counts
 from bitweave.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_embedding_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
