@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.llm import chat, embedding_dedup, language_id, mixing, token_counts
-from bitweave.session import table
+from bitweave.llm import chat, embedding_dedup, language_id, mixing, token_counts, token_files
+from bitweave.session import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -131,3 +131,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_language_id")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-files")
+    files = token_files.write(table(spark, sf_dir, "documents"), folder, token_counts.tokenizer_path("word_bpe_49k.json"))
+    return token_files.read(spark, folder, files, digests=True)
