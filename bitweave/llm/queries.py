@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.llm import chat, decontaminate, embedding_dedup, language_id, mixing, token_counts, token_files
+from bitweave.llm import chat, decontaminate, embedding_dedup, language_id, mixing, near_dedup, token_counts, token_files
 from bitweave.session import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.where("contaminated").select("doc_id", F.size("items").alias("n_items"), F.element_at("items", 1).alias("item_id"), "edits")
+
+
+@query("op7_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
