@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.llm import chat, decontaminate, embedding_dedup, language_id, mixing, near_dedup, token_counts, token_files
+from bitweave.llm import chat, decontaminate, embedding_dedup, language_id, mixing, near_dedup, repeats, token_counts, token_files
 from bitweave.session import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents"))
