@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.llm import chat, decontaminate, embedding_dedup, language_id, mixing, near_dedup, repeats, token_counts, token_files
+from bitweave.llm import chat, decontaminate, embedding_dedup, language_id, licenses, mixing, near_dedup, repeats, token_counts, token_files
 from bitweave.session import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.documents(found).select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_blocks", F.round("saved", 4).alias("saved"))
