@@ -38,8 +38,8 @@ def keyed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *more: Column) -> DataFrame:
+    return docs.select(*more, F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EP
     w = w.withColumn("capped", F.coalesce(F.sum("cap").over(to_here), F.lit(0.0))).withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(to_here), F.lit(0.0)))
     # With all before this one capped, the level of the rest; the true level is the first that its own cap reaches.
     w = w.withColumn("try", (F.col("total") - F.col("capped")) / F.col("open"))
-    w = w.withColumn("lambda", F.min(F.when(F.col("level") >= F.col("try"), F.col("try"))).over(everything))
+    w = w.withColumn("lambda", F.max(F.when(F.col("level") >= F.col("try"), F.col("try"))).over(everything))
     w = w.withColumn("target", F.round(F.least(F.col("cap"), F.coalesce(F.col("lambda"), F.lit(0.0)) * F.col("weight")), 6))
     size = F.lit(block) if block else F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("total") / (BLOCKS_PER_SOURCE * F.col("n")))))
     w = w.withColumn("block", size.cast("long")).withColumn("seats", F.round(F.col("total") / F.col("block")).cast("long"))
@@ -87,25 +87,51 @@ def apportion(cells: DataFrame, weight: str, seats: str, within: list[str], ties
     return c.join(changed, same, "left").withColumn("quota", F.col("_q0") + F.coalesce(F.col("_change"), F.lit(0))).drop("_unit", "_q0", "_diff", "_change", *[f"_k{i}" for i in range(len(keys))])
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, block: int | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of each document."""
+def _placed(docs: DataFrame, key: str, text: str, source: str, weights: tuple, max_epochs: int, seed: str, block: int | None, shard_docs: int, carry: bool) -> DataFrame:
+    """Each document with the words it gives: whole (times), head_from, head (words), tail (words from its start)."""
     sized = sizes(docs, key, text, source)
     plan = targets(sized, weights, max_epochs, block)
     src = plan.select(F.col("source").alias("_s"), "source_size", "target", "block", "quota", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs)).cast("long").alias("n_shards"))
-    d = sized.join(src, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    idtext = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    d = d.withColumn("order", keyed(F.lit(seed), idtext)).withColumn("shard", F.pmod(keyed(F.lit(seed + "-shard"), idtext), F.col("n_shards")))
-    cells = d.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"), F.first("quota").alias("quota_s"), F.first("block").alias("block_c"))
+
+    def sharded(rows: DataFrame) -> DataFrame:
+        idtext = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+        d = rows.join(src, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        return d.withColumn("order", keyed(F.lit(seed), idtext)).withColumn("shard", F.pmod(keyed(F.lit(seed + "-shard"), idtext), F.col("n_shards")))
+
+    cells = sharded(sized).groupBy("source", "shard").agg(F.sum("size").alias("cell_size"), F.first("quota").alias("quota_s"))
     cells = apportion(cells, "cell_size", "quota_s", ["source"], ["shard"]).select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "cell_size", F.col("quota").alias("cell_quota"))
+    d = sharded(sizes(docs, key, text, source, F.struct("*").alias("row")) if carry else sized)
     d = d.join(cells, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h"))).drop("_s", "_h")
     w = Window.partitionBy("source", "shard").orderBy("order", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("a", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    want = F.least(F.col("cell_quota") * F.col("block"), max_epochs * F.col("cell_size"))
-    d = d.withColumn("want", want).withColumn("whole", F.when(F.col("cell_size") > 0, F.floor(F.col("want") / F.col("cell_size"))).otherwise(0).cast("long"))
+    d = d.withColumn("want", F.least(F.col("cell_quota") * F.col("block"), max_epochs * F.col("cell_size")))
+    d = d.withColumn("whole", F.when(F.col("cell_size") > 0, F.floor(F.col("want") / F.col("cell_size"))).otherwise(0).cast("long"))
     d = d.withColumn("rest", F.col("want") - F.col("whole") * F.col("cell_size"))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("cell_size") / F.col("block"))).cast("long")
     d = d.withColumn("from", F.pmod(keyed(F.lit(seed + "-block"), F.coalesce(F.col("source"), F.lit("")), F.col("shard").cast("string")), n_blocks) * F.col("block"))
-    lap = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("a") + F.col("size"), hi) - F.greatest(F.col("a"), lo))
     end = F.col("from") + F.col("rest")
-    taken = F.col("whole") * F.col("size") + lap(F.col("from"), F.least(end, F.col("cell_size"))) + lap(F.lit(0), end - F.col("cell_size"))
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    lap = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("a") + F.col("size"), hi) - F.greatest(F.col("a"), lo)).cast("long")
+    return d.withColumn("head", lap(F.col("from"), F.least(end, F.col("cell_size")))).withColumn("head_from", F.greatest(F.lit(0), F.col("from") - F.col("a"))).withColumn("tail", lap(F.lit(0), end - F.col("cell_size")))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, block: int | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of each document."""
+    d = _placed(docs, key, text, source, weights, max_epochs, seed, block, shard_docs, False)
+    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("head") + F.col("tail")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, block: int | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each time a document is taken whole, and one for each part.
+
+    A part is its words joined by single blanks. A document that gives no word isn't in the mix.
+    """
+    d = _placed(docs, key, text, source, weights, max_epochs, seed, block, shard_docs, True)
+    t = F.col(f"row.`{text}`")
+    cut = lambda lo, n: F.array_join(F.slice(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), (lo + 1).cast("int"), n.cast("int")), " ")
+    none = F.lit(None).cast("string")
+    n, size = F.col("whole"), F.col("size")
+    head = F.when(F.col("head") == 0, none).when(F.col("head") == size, t).otherwise(cut(F.col("head_from"), F.col("head")))
+    tail = F.when(F.col("tail") == 0, none).when(F.col("tail") == size, t).otherwise(cut(F.lit(0), F.col("tail")))
+    times = F.when((size > 0) & (n > 0), F.array_repeat(t, n.cast("int"))).otherwise(F.array().cast("array<string>"))
+    rows = d.select("row", F.explode(F.concat(times, F.array_compact(F.array(head, tail)))).alias("_taken"))
+    return rows.select(*[F.col("_taken").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

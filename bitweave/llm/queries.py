@@ -71,7 +71,7 @@ with sized as (
   select *, (total - coalesce(sum(cap) over p, 0)) / (sum(weight) over () - coalesce(sum(weight) over p, 0)) as try
   from lev window p as (order by level, source nulls last rows between unbounded preceding and 1 preceding)
 ), tgt as (
-  select *, round(least(cap, coalesce(min(case when level >= try then try end) over (), 0) * weight), 6) as target,
+  select *, round(least(cap, coalesce(max(case when level >= try then try end) over (), 0) * weight), 6) as target,
     cast(greatest(1, least(1024, floor(total / (2000 * n)))) as bigint) as block
   from tri
 ), seats as (
