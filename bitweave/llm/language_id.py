@@ -199,3 +199,22 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     samples = training_sample(docs.where(~held_out(key)), key, text, lang)
     p = predict(docs, samples, key, text)
     return p.select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_letter")
+
+
+def keep(docs: DataFrame, samples: list[tuple[str, str]], text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
+    """The rows with a language: neither ``und`` nor scored under ``least``; a null label gets the prediction. Narrow."""
+    held = tuple(samples)
+    text_at, lang_at = docs.columns.index(text), docs.columns.index(lang)
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = _model(held)
+        for b in batches:
+            pred, score, _ = model.predict(b.column(text_at).to_pylist())
+            own = b.column(lang_at).to_pylist()
+            cols = list(b.columns)
+            cols[lang_at] = pa.array([o if o is not None or p == "und" else p for o, p in zip(own, pred)], b.schema.field(lang_at).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score.tolist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
