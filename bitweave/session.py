@@ -54,11 +54,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write as a table in the shared folder and read it back: cuts lineage, columnar and compressed."""
-    at = fresh_path(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """Write as a table in the shared folder and read it back: cuts lineage, columnar and compressed.
+
+    The shuffle files of the write are no use afterwards and are removed at its end.
+    """
+    spark = df.sparkSession
+    at, before = fresh_path(spark, name), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
