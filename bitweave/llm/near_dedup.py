@@ -6,10 +6,12 @@ Two texts are linked where the smaller shingle set lies to at least ``containmen
 1. Texts that are equal form a class; the smallest id stands for it.
 2. Classes are partitioned by size of their sets, each partition's upper end ``step`` times its lower. For a pair of
    partitions whose sizes can differ by a factor x, containment c means a Jaccard of at least c / (1 + x - c). Banding
-   with two rows a band is tuned for each separately: the fewest bands that miss a pair at that threshold with
-   probability ``miss``: fewer within a partition, more across neighbours, all of them prefixes of one list of bands.
+   with two rows a band is tuned for each separately: the fewest bands of which a pair at that threshold shares less
+   than two with probability ``miss``: fewer within a partition, more across neighbours, all of them prefixes of one
+   list of bands.
 3. In a bucket nobody meets everybody: each class is paired with the bucket's smallest and with its neighbour by size.
-   Counting equal bands ranks the pairs. Buckets of any size are joined and windowed in salted parts.
+   A pair that met in two buckets is a candidate; texts that only share a passage seldom do. Buckets of any size are
+   joined and windowed in salted parts.
 4. Pairs are verified exactly, by set intersection: first each class with the one it shares most bands with, then, of
    the other pairs, those that still lie in different components. Links give components; pairs inside a component say
    nothing new and are not expanded.
@@ -48,7 +50,20 @@ def jaccard_at(containment: float, x: float) -> float:
 
 
 def bands_for(jaccard: float, miss: float, rows: int = 2) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - jaccard**rows))
+    """The fewest bands of which a pair of that Jaccard shares two with a probability of at least 1 - miss."""
+    p, n = jaccard**rows, 2
+    while (1 - p) ** n + n * p * (1 - p) ** (n - 1) > miss:
+        n += 1
+    return n
+
+
+def _only(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 21) -> DataFrame:
+    """Rows that may have a wanted key, so that fewer are shuffled: a bitmap of 2**bits places by hash, 2**(bits - 6)
+    numbers at most however many keys there are, is broadcast. A join must still settle which do."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    words = wanted.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_p % 64 as int)))").alias("_b"))
+    marked = rows.withColumn("_p", place).withColumn("_w", F.shiftright("_p", 6)).join(F.broadcast(words), "_w")
+    return marked.where("shiftright(_b, cast(_p % 64 as int)) & 1 = 1").drop("_p", "_w", "_b")
 
 
 def _texts(pdf: pd.DataFrame) -> list[str]:
@@ -113,7 +128,7 @@ def verify(pairs: DataFrame, sets: DataFrame, containment: float, group: int = 5
     heads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / group).cast("int"))
     members = pairs.join(heads, "a").select("a", F.pmod(F.hash("b"), F.col("parts")).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
     firsts = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    rows = members.unionByName(firsts).join(sets, "id")
+    rows = members.unionByName(firsts).join(sets.hint("merge"), "id")
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInPandas(_compare(containment), "a long, b long")
 
 
@@ -128,7 +143,7 @@ def candidates(classes: DataFrame, same: int, ratio: float, step: float, salt: i
     met = met.select("r", "s", "p", "band", F.array_distinct(F.array("first", before)).alias("others"))
     pairs = met.select("r", "s", "p", "band", F.explode("others").alias("o")).where(F.col("o").isNotNull() & (F.col("o.r") != F.col("r")))
     fits = (F.least("s", "o.s") >= ratio * F.greatest("s", "o.s")) & ((F.col("band") < same) | (F.col("p") != F.col("o.p")))
-    return pairs.where(fits).groupBy(F.least("r", "o.r").alias("a"), F.greatest("r", "o.r").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+    return pairs.where(fits).groupBy(F.least("r", "o.r").alias("a"), F.greatest("r", "o.r").alias("b")).agg(F.count(F.lit(1)).alias("votes")).where("votes > 1")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, containment: float = CONTAINMENT, ratio: float = RATIO, step: float = STEP, miss: float = MISS) -> DataFrame:
@@ -143,8 +158,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     classes = signed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("id", "size", "keys")).alias("one"))
     reps = classes.where(F.col("rep").isNotNull()).select("rep", "one.size", "one.keys")
     pairs = stage(candidates(reps, same, ratio, step), "candidates")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stage(d.join(wanted, "id").mapInPandas(_sets(k), "id long, set binary"), "sets")
+    wanted = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    sets = stage(_only(d, "id", wanted).join(wanted.hint("merge"), "id").mapInPandas(_sets(k), "id long, set binary"), "sets")
     both = pairs.select("a", "b", "votes", F.col("a").alias("x")).unionByName(pairs.select("a", "b", "votes", F.col("b").alias("x")))
     best = both.groupBy("x").agg(F.max(F.struct("votes", -F.col("a"), -F.col("b"))).alias("m")).select((-F.col("m.col2")).alias("a"), (-F.col("m.col3")).alias("b")).distinct()
     first = stage(verify(best, sets, containment).distinct(), "links")
