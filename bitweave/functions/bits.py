@@ -16,7 +16,7 @@ def pack(bits: Column, n: int) -> Column:
     words = []
     for w in range(0, n, WORD):
         own = F.slice(bits, w + 1, min(WORD, n - w))
-        words.append(F.aggregate(F.transform(own, lambda b, i: F.shiftleft(b.cast("long"), i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+        words.append(F.aggregate(F.transform(own, lambda b, i: F.call_function("shiftleft", b.cast("long"), i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
     return F.array(*words)
 
 

@@ -56,6 +56,11 @@ def clustering_accuracy(assignments: DataFrame, edges: DataFrame, metric: str =
     return node.agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("score"))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's, null where either side doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def retrieval_accuracy(edges: DataFrame, codes: DataFrame, margin: int, metric: str = "mean") -> DataFrame:
     """score: of each node, over expected neighbours within ``margin`` bits: mean or least weight, correlation of weight
     and nearness, or the share of the weights' variance; then the mean over nodes with any."""
@@ -66,7 +71,7 @@ def retrieval_accuracy(edges: DataFrame, codes: DataFrame, margin: int, metric:
         all_ = d.groupBy("src").agg(F.var_pop("weight").alias("v"))
         node = near.groupBy("src").agg(F.var_pop("weight").alias("n")).join(all_, "src").select(F.when(F.col("v") > 0, 1 - F.col("n") / F.col("v")).otherwise(0.0).alias("s"))
     else:
-        how = {"mean": F.avg("weight"), "min": F.min("weight"), "pearson": F.coalesce(F.when((F.stddev_pop("d") > 0) & (F.stddev_pop("weight") > 0), F.corr("weight", -F.col("d"))), F.lit(0.0))}[metric]
+        how = {"mean": F.avg("weight"), "min": F.min("weight"), "pearson": F.coalesce(correlation("weight", -F.col("d")), F.lit(0.0))}[metric]
         node = near.groupBy("src").agg(how.alias("s"))
     return node.agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("score"))
 
@@ -99,7 +104,7 @@ def score_retrieval(retrieved: DataFrame, expected: DataFrame, n: int, ranking:
             got = got.withColumn("x", _average_rank(-F.col("d"), "src")).withColumn("y", _average_rank(F.col("rel"), "src"))
         else:
             got = got.withColumn("x", x).withColumn("y", y)
-        corr = F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.corr("x", "y"))
+        corr = correlation("x", "y")
         s = queries.join(got.groupBy("src").agg(corr.alias("s")), "src", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     return s.agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("score"), F.count(F.lit(1)).alias("total_queries"))
 
@@ -175,7 +180,7 @@ def masked_score(edges: DataFrame, codes: DataFrame, n: int, masks: dict[str, li
         node = long.withColumn("i", i).withColumn("j", j).groupBy("mask", "g").agg(F.sum(F.col("weight") / F.log2(F.col("i") + 1.0)).alias("p"), F.sum(F.col("weight") / F.log2(F.col("j") + 1.0)).alias("q")).select("mask", F.when(F.col("q") > 0, F.col("p") / F.col("q")).otherwise(0.0).alias("s"))
     else:
         r = long.withColumn("x", _average_rank(-F.col("d"), "g") if ranking == "spearman" else -F.col("d")).withColumn("y", _average_rank(F.col("weight"), "g") if ranking == "spearman" else F.col("weight"))
-        node = r.groupBy("mask", "g").agg(F.coalesce(F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.corr("x", "y")), F.lit(0.0)).alias("s"))
+        node = r.groupBy("mask", "g").agg(F.coalesce(correlation("x", "y"), F.lit(0.0)).alias("s"))
     return {x["mask"]: x["s"] for x in node.groupBy("mask").agg(F.avg("s").alias("s")).collect()}
 
 
