@@ -37,9 +37,13 @@ def char_ngrams(token: Column, n: int) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(token, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def _marked(w: Column, n: int) -> Column:
+    return F.flatten(F.transform(w, lambda t: F.transform(char_ngrams(t, n), lambda c: F.concat(F.lit("#"), c))))
+
+
 def tokens(text: Column, ngram: int = 1, chars: tuple[int, ...] = (), skips: int = 0, least: int = 1, most: int = 40) -> Column:
     """Distinct features of a text: words, their n-grams and skip-grams, and character n-grams of each word."""
     w = words(text, least, most)
     parts = [w] + [ngrams(w, n) for n in range(2, ngram + 1)] + [ngrams(w, 2, s) for s in range(1, skips + 1)]
-    parts += [F.flatten(F.transform(w, lambda t, n=n: F.transform(char_ngrams(t, n), lambda c: F.concat(F.lit("#"), c)))) for n in chars]
+    parts += [_marked(w, n) for n in chars]
     return F.array_distinct(F.concat(*parts))
