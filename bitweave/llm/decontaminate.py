@@ -27,11 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitweave.llm.held import held, small_batches
+from bitweave.llm.language_id import slices
+
 Q, WINDOW, STEP, RATE, MIN_ITEM, BLOCK_BYTES = 8, 64, 32, 0.05, 32, 4 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)]] = 32
-_held: dict = {}
 
 
 def normalise(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -215,13 +217,10 @@ def item_blocks(bench: DataFrame, item: str = "item_id", text: str = "text", blo
 
 
 def _scan(block: list[tuple[int, str]], params: tuple, last: bool):
-    held = (tuple(block), params)
+    key = ("items", tuple(block), params)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if held not in _held:
-            _held.clear()
-            _held[held] = Index(list(held[0]), *params)
-        index = _held[held]
+        index = held(key, lambda: Index(list(key[1]), *params))
         for pdf in batches:
             texts = [t.encode() if isinstance(t, str) else b"" for t in pdf["t"]]
             lo = size = 0
@@ -247,7 +246,7 @@ def scan(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "te
     """key, items (ids found, ascending), edits (fewest, null if none), contaminated of each row; narrow, one pass a block."""
     kind = dict(docs.dtypes)[key]
     blocks = item_blocks(bench, item, item_text, block_bytes) or [[]]
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    out = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t"))
     for n, block in enumerate(blocks):
         last = n + 1 == len(blocks)
         out = out.mapInPandas(_scan(block, (window, step, rate, min_item), last), f"k {kind}, items array<long>, edits long" + ", t string" * (not last))
@@ -255,22 +254,20 @@ def scan(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def _clean(block: list[tuple[int, str]], params: tuple, text_at: int):
-    held = (tuple(block), params)
+    key = ("items", tuple(block), params)
 
     def run(batches):
         import pyarrow as pa
 
-        if held not in _held:
-            _held.clear()
-            _held[held] = Index(list(held[0]), *params)
-        for b in batches:
+        index = held(key, lambda: Index(list(key[1]), *params))
+        for b in slices(batches):
             texts = [(t or "").encode() for t in b.column(text_at).to_pylist()]
             bad: set[int] = set()
             lo = size = 0
             for hi in range(1, len(texts) + 1):
                 size += len(texts[hi - 1])
                 if size >= 1 << 21 or hi == len(texts):
-                    bad.update(lo + d for d in _held[held].matches(texts[lo:hi])["doc"])
+                    bad.update(lo + d for d in index.matches(texts[lo:hi])["doc"])
                     lo, size = hi, 0
             yield b.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
 
@@ -280,5 +277,5 @@ def _clean(block: list[tuple[int, str]], params: tuple, text_at: int):
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, step: int = STEP, rate: float = RATE, min_item: int = MIN_ITEM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows that aren't contaminated, as they are; narrow, one pass a block of the benchmark."""
     for block in item_blocks(bench, item, item_text, block_bytes):
-        docs = docs.mapInArrow(_clean(block, (window, step, rate, min_item), docs.columns.index(text)), docs.schema)
+        docs = small_batches(docs).mapInArrow(_clean(block, (window, step, rate, min_item), docs.columns.index(text)), docs.schema)
     return docs

@@ -28,9 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitweave.llm.held import held, small_batches
+from bitweave.llm.word_encoder import portions
+
 TRAIN_DOCS, TRAIN_CHARS, BLOCK = 64, 1024, 512
 _NOT_LETTER = re.compile(r"[\W\d_]+")
-_models: dict = {}
 
 
 def reduce_text(text: str) -> str:
@@ -129,25 +131,22 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits a letter of the best."""
-        flat = [reduce_text(t).encode() if isinstance(t, str) else b"" for t in texts]
-        lang, score, rate = ["und"] * len(flat), np.zeros(len(flat)), np.zeros(len(flat))
+        lang, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.langs:
             return lang, score, rate
-        size, lo = 0, 0
-        for hi in range(1, len(flat) + 1):
-            size += len(flat[hi - 1])
-            if size < 1 << 22 and hi < len(flat):
+        for lo, hi in portions([t if isinstance(t, str) else "" for t in texts]):
+            flat = [reduce_text(t).encode() if isinstance(t, str) else b"" for t in texts[lo:hi]]
+            some = [i for i, t in enumerate(flat) if t]
+            if not some:
                 continue
-            some = [i for i in range(lo, hi) if flat[i]]
-            if some:
-                cost = self.phrases([flat[i] for i in some]) * self.bits
-                best = cost.argmin(1)
-                share = np.exp2(-np.minimum(cost - cost.min(1, keepdims=True), 1000))
-                for i, b in zip(some, best):
-                    lang[i] = self.langs[b]
-                score[some] = 1 / share.sum(1)
-                rate[some] = cost.min(1) / np.array([len(flat[i]) for i in some])
-            lo, size = hi, 0
+            cost = self.phrases([flat[i] for i in some]) * self.bits
+            best = cost.argmin(1)
+            share = np.exp2(-np.minimum(cost - cost.min(1, keepdims=True), 1000))
+            at = np.array(some) + lo
+            for i, b in zip(at.tolist(), best):
+                lang[i] = self.langs[b]
+            score[at] = 1 / share.sum(1)
+            rate[at] = cost.min(1) / np.array([len(flat[i]) for i in some])
         return lang, score, rate
 
 
@@ -169,10 +168,7 @@ def training_sample(rows: DataFrame, key: str, text: str, lang: str, train_docs:
 
 
 def _model(samples: tuple) -> Model:
-    if samples not in _models:
-        _models.clear()
-        _models[samples] = Model(list(samples))
-    return _models[samples]
+    return held(("languages", samples), lambda: Model(list(samples)))
 
 
 def predict(docs: DataFrame, samples: list[tuple[str, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,7 +182,7 @@ def predict(docs: DataFrame, samples: list[tuple[str, str]], key: str = "doc_id"
             lang, score, rate = model.predict(pdf["t"].tolist())
             yield pd.DataFrame({"k": pdf["k"], "lang_pred": lang, "score": score, "bits_per_letter": rate})
 
-    slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    slim = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t"))
     return slim.mapInPandas(run, f"k {kind}, lang_pred string, score double, bits_per_letter double").withColumnRenamed("k", key)
 
 
@@ -201,6 +197,13 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return p.select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_letter")
 
 
+def slices(batches, rows: int = 1_000):
+    """Smaller parts of Arrow batches, so that a task holds few Python strings at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def keep(docs: DataFrame, samples: list[tuple[str, str]], text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
     """The rows with a language: neither ``und`` nor scored under ``least``; a null label gets the prediction. Narrow."""
     held = tuple(samples)
@@ -210,11 +213,11 @@ def keep(docs: DataFrame, samples: list[tuple[str, str]], text: str = "text", la
         import pyarrow as pa
 
         model = _model(held)
-        for b in batches:
+        for b in slices(batches):
             pred, score, _ = model.predict(b.column(text_at).to_pylist())
             own = b.column(lang_at).to_pylist()
             cols = list(b.columns)
             cols[lang_at] = pa.array([o if o is not None or p == "und" else p for o, p in zip(own, pred)], b.schema.field(lang_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score.tolist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

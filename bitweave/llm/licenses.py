@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitweave.llm.held import held, small_batches
+
 WORDS = "licen[sc]e|copyright|warrant|spdx|public domain|all rights reserved|creativecommons|creative commons|cc[ -]by|cc0|as is"
 _WORD = re.compile(r"[a-z0-9.+-]*[a-z0-9+]", re.I)
 _HINT = re.compile(WORDS, re.I)
@@ -137,15 +139,10 @@ class Scanner:
         return None
 
 
-_scanners: dict = {}
-
-
 def _scan(templates: tuple[Template, ...], winners: int, slack: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         args = (templates, winners, slack)
-        if args not in _scanners:
-            _scanners[args] = Scanner(*args)
-        scanner = _scanners[args]
+        scanner = held(("licenses", args), lambda: Scanner(*args))
         for pdf in batches:
             judged: dict[str, tuple | None] = {}
             rows = []
@@ -165,7 +162,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tu
     """key, from, to (characters), license, saved, difference of each block found; a narrow plan."""
     kind = dict(docs.dtypes)[key]
     # the word filter runs in the JVM; only texts with a license word reach Python
-    slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(f"(?i)({WORDS})"))
+    slim = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(f"(?i)({WORDS})"))
     return slim.mapInPandas(_scan(templates, winners, slack), f"k {kind}, from long, to long, license string, saved double, difference string").withColumnRenamed("k", key)
 
 

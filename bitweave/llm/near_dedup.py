@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bitweave.llm.held import small_batches
 from bitweave.llm.shingles import minhash, mix, shingle_sets
 from bitweave.llm.word_encoder import portions
 from bitweave.operators.components import connected_components
@@ -150,7 +151,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """doc_id, class_id, n_copies, n_links, component_id, kept of each row."""
     same = bands_for(jaccard_at(containment, min(step, 1 / ratio)), miss)
     across = max(same, bands_for(jaccard_at(containment, 1 / ratio), miss))
-    d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    d = small_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     alone = F.col("id").isNull() | F.col("t").isNull() | (F.col("t") == "")
     # a text that is null or empty has no equals: its class is its own id
     h = F.when(alone, F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("null")))).otherwise(F.md5(F.col("t").cast("binary")))

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bitweave.llm.held import small_batches
 from bitweave.llm.shingles import mix
 from bitweave.llm.word_encoder import ragged
 from bitweave.session import stage
@@ -279,7 +280,7 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     """
     if not 1 <= gram <= length:
         raise ValueError("the trigger must fit into the string")
-    d = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("d"), F.hash(text).alias("x"), F.col(text).alias("t"))
+    d = small_batches(docs).select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("d"), F.hash(text).alias("x"), F.col(text).alias("t"))
     kinds = "g long, x long, y long, w int, own boolean, d string, h int, number long"
     ask = lambda df, k: df.mapInPandas(_round(k, length, gram, block, piece), kinds)
     core = _found(ask(d, 1), "core")

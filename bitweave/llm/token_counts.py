@@ -20,20 +20,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitweave.llm.held import held, small_batches
+
 TOKENIZER_DIR = "/opt/tokenizers"
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
-_loaded: dict = {}
 
 
 def tokenizer(path: str):
-    """The tokenizer of a .json file, loaded once a worker."""
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    """The tokenizer of a .json file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+    return Tokenizer.from_file(path)
 
 
 def tokenizer_path(name: str) -> str:
@@ -94,7 +93,7 @@ def _again(old: list[tuple[int, int, int]], first: int, new: list[tuple[int, int
 
 def count_batches(path: str, chunk: int, overlap: int, out: list[str], key: str, text: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = tokenizer(path)
+        tok = held(("tokenizer", path), lambda: tokenizer(path))
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf[text]]
             n = [0] * len(texts)
@@ -124,6 +123,6 @@ def count_batches(path: str, chunk: int, overlap: int, out: list[str], key: str,
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """Each row's key, UTF-8 bytes, tokens and whether these exceed ``limit``; a narrow plan, no shuffle."""
     kind = dict(docs.dtypes)[key]
-    slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    slim = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     counted = slim.mapInPandas(count_batches(path, chunk, overlap, [], "k", "t"), f"k {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("k").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitweave.llm.held import small_batches
 from bitweave.llm.token_counts import tokenizer
 from bitweave.llm.word_encoder import encoder, portions, ragged
 
@@ -201,7 +202,7 @@ def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: st
     kind = "<u2" if top <= 1 << 16 else "<u4"
     cuts = docs.select(F.percentile_approx(key, [i / shards for i in range(1, shards)] or [0.5], 10_000).alias("q")).first().q or []
     bounds = sorted({int(x) for x in cuts})
-    coded = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(_encode(path, end_id, bounds, kind), "bucket int, known boolean, k long, n long, ids binary")
+    coded = small_batches(docs).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(_encode(path, end_id, bounds, kind), "bucket int, known boolean, k long, n long, ids binary")
     placed = coded.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "known", "k", "n", "ids")
     done = placed.mapInPandas(_write(folder, file_ids, kind), "name string, n_docs long, n_ids long").toPandas().sort_values("name", ignore_index=True)
     done["start"] = done["n_ids"].cumsum() - done["n_ids"]

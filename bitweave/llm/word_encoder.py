@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 
+from bitweave.llm.held import held
 from bitweave.llm.token_counts import tokenizer
 
 _OTHER = re.compile("[^\x00-įı-ɏ]")
@@ -139,7 +140,7 @@ LONGEST = 32
 
 
 class WordEncoder:
-    def __init__(self, path: str, bits: int = 21):
+    def __init__(self, path: str, bits: int = 20):
         self.tok = tokenizer(path)
         self.merges = Merges(path)
         self.dots = {c: self.whole([c])[0] for c in ".,"}
@@ -331,13 +332,8 @@ class WordEncoder:
         return at, n, np.concatenate(pools) if pools else np.zeros(0, np.uint32)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 def portions(texts: list[str], chars: int = 1 << 21):
