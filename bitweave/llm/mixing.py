@@ -77,8 +77,10 @@ def apportion(cells: DataFrame, weight: str, seats: str, within: list[str], ties
         F.col("_diff") < 0, F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.struct(F.when(F.col("_q0") >= k, -F.col(weight) / (2 * (F.col("_q0") - k) + 1)).alias("v"), F.lit(-1).alias("s")))
     )
     keys = [*within, *ties]
-    o = c.select(*keys, "_diff", F.explode(offers).alias("o")).where("o.v is not null and (o.s < 0 or o.v > 0)")
-    r = Window.partitionBy(*within).orderBy(F.col("o.v").desc(), *[F.col(t).asc_nulls_last() for t in ties]) if within else Window.orderBy(F.col("o.v").desc(), *[F.col(t).asc_nulls_last() for t in ties])
+    # of equal quotients the first cell is served first, so the last one gives back first
+    at = F.row_number().over((Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(*[F.col(t).asc_nulls_last() for t in ties]))
+    o = c.withColumn("_t", at).select(*keys, "_diff", "_t", F.explode(offers).alias("o")).where("o.v is not null and (o.s < 0 or o.v > 0)")
+    r = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(F.col("o.v").desc(), F.col("o.s") * F.col("_t"))
     changed = o.withColumn("_r", F.row_number().over(r)).where(F.col("_r") <= F.abs("_diff")).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("o.s").alias("_change"))
     same = None
     for i, k in enumerate(keys):
