@@ -28,10 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitweave.llm.held import held, small_batches
+from bitweave.llm.held import give_back, held, small_batches
 from bitweave.llm.word_encoder import portions
 
-TRAIN_DOCS, TRAIN_CHARS, BLOCK = 64, 1024, 512
+TRAIN_DOCS, TRAIN_CHARS, BLOCK = 48, 768, 512
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -70,12 +70,14 @@ def automaton(data: bytes, classes: np.ndarray, n_classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    root = np.zeros(n_classes, np.int32)
+    lost = len(nxt)  # the state behind a byte that the root doesn't know: whatever follows begins a phrase
+    root = np.full(n_classes, lost, np.int32)
     for c, s in nxt[0].items():
         root[c] = s
-    table = np.tile(root * 2 + 1, (len(nxt), 1)).astype(np.int32)
-    s = np.repeat(np.arange(len(nxt)), [len(m) for m in nxt])
-    table[s, np.fromiter((c for m in nxt for c in m), np.int64)] = np.fromiter((v for m in nxt for v in m.values()), np.int64) * 2
+    table = np.tile(root * 2 + 1, (lost + 1, 1)).astype(np.int32)
+    table[0] = root * 2
+    s = np.repeat(np.arange(lost), [len(m) for m in nxt])
+    table[s, np.fromiter((c for m in nxt for c in m), np.int64, len(s))] = np.fromiter((v for m in nxt for v in m.values()), np.int64, len(s)) * 2
     return table
 
 
@@ -89,14 +91,22 @@ class Model:
         self.classes = np.zeros(256, np.uint8)
         self.classes[seen] = np.arange(1, len(seen) + 1)
         width = len(seen) + 1
+        # a state is held as its row's offset * 2, so that a step is one addition and one look-up
+        kind = np.int32 if sum(2 * len(d) + 2 for d in data) * width * 2 < 2**31 else np.int64
         tables, roots, at = [], [], 0
         for d in data:
-            t = automaton(d, self.classes, width)
-            tables.append(np.where(True, ((t >> 1) + at) * width * 2 + (t & 1), 0))
+            t = automaton(d, self.classes, width).astype(kind, copy=False)
+            ended = t & 1
+            t >>= 1
+            t += at
+            t *= width * 2
+            t += ended
+            tables.append(t)
             roots.append(at * width * 2)
             at += len(t)
-        # a state is held as its row's offset * 2, so that a step is one addition and one look-up
-        self.table = np.concatenate(tables).astype(np.int32 if at * width * 2 < 2**31 else np.int64).ravel()
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, kind)
+        del tables
+        give_back()
         self.roots = np.array(roots, self.table.dtype)
         self.bits = np.array([np.log2(max(2, len(d))) for d in data])
 
