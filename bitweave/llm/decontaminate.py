@@ -226,7 +226,7 @@ def _scan(block: list[tuple[int, str]], params: tuple, last: bool):
             lo = size = 0
             for hi in range(1, len(texts) + 1):
                 size += len(texts[hi - 1])
-                if size < 1 << 21 and hi < len(texts):
+                if size < 1 << 20 and hi < len(texts):
                     continue
                 m = index.matches(texts[lo:hi])
                 items, best = [[] for _ in range(hi - lo)], [None] * (hi - lo)
@@ -266,7 +266,7 @@ def _clean(block: list[tuple[int, str]], params: tuple, text_at: int):
             lo = size = 0
             for hi in range(1, len(texts) + 1):
                 size += len(texts[hi - 1])
-                if size >= 1 << 21 or hi == len(texts):
+                if size >= 1 << 20 or hi == len(texts):
                     bad.update(lo + d for d in index.matches(texts[lo:hi])["doc"])
                     lo, size = hi, 0
             yield b.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))

@@ -14,7 +14,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE to the power of 0, 1, ... n and of 0, -1, ... -n, modulo 2**64."""
     if len(_powers[0]) <= n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 20)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             p = np.full(n + 1, base, np.uint64)
             p[0] = 1

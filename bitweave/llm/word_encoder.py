@@ -336,7 +336,7 @@ def encoder(path: str) -> WordEncoder:
     return held(("words", path), lambda: WordEncoder(path))
 
 
-def portions(texts: list[str], chars: int = 1 << 21):
+def portions(texts: list[str], chars: int = 1 << 20):
     """Index ranges of about ``chars`` characters each."""
     lo = size = 0
     for hi, t in enumerate(texts):
