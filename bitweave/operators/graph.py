@@ -128,7 +128,7 @@ def spanning_forest(candidates: DataFrame, nodes: DataFrame | None = None, max_r
         if low.isEmpty():
             break
         chosen.append(low.select("src", "dst", "dist").distinct())
-        merged = connected_components(low.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
+        merged = _contract(low.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
         comp = stage(comp.join(merged.select(F.col("id").alias("component"), F.col("component").alias("c2")), "component", "left").select("id", F.coalesce("c2", "component").alias("component")), "components")
     out = cand.limit(0).select("src", "dst", "dist")
     for c in chosen:
@@ -136,6 +136,30 @@ def spanning_forest(candidates: DataFrame, nodes: DataFrame | None = None, max_r
     return out
 
 
+LOCAL_EDGES = 100_000
+
+
+def _contract(links: DataFrame) -> DataFrame:
+    """Components of the links; a few are united on the driver, more than LOCAL_EDGES by the cluster. Same result."""
+    some = links.limit(LOCAL_EDGES + 1).collect()
+    if len(some) > LOCAL_EDGES:
+        return connected_components(links)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in some:
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return links.sparkSession.createDataFrame([(x, find(x)) for x in list(root)], "id long, component long")
+
+
 def bridge_mst(edges: DataFrame, candidates: DataFrame, nodes: DataFrame | None = None, seed: str = "ring") -> DataFrame:
     """Edges with those added that join components: first the nearest candidates, then a ring through the busiest nodes."""
     comp = components(edges, nodes)
