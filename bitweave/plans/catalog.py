@@ -171,13 +171,13 @@ def literal_bits(spark, d):
 
 
 @query("mutual_knn", f"""
-with {CODES}, d as (select x.id as src, y.id as dst, {HAM} as dist from codes x, codes y where x.id <> y.id and x.id % 50 = 0 and y.id % 50 = 0),
+with {CODES}, d as (select x.id as src, y.id as dst, {HAM} as dist from codes x, codes y where x.id <> y.id and list_sum(list_transform({[p + 1 for p in PLACES]}, lambda i: case when x.b[i] <> y.b[i] then 1 else 0 end)) <= 1),
 h as (select * from (select *, row_number() over (partition by src order by dist, dst) as rank from d) where rank <= 4)
 select a.src, a.dst, cast(least(a.dist, b.dist) as int) as dist, cast(row_number() over (partition by a.src order by least(a.dist, b.dist), a.dst) as int) as rank from h a join h b on a.src = b.dst and a.dst = b.src
 """)
 def mutual_knn(spark, d):
-    c = hamming.create(sign_codes(spark, d)).where("id % 50 = 0")
-    return setjoin.mutualize(hamming.exact(c, c, DIM, 4))
+    c = hamming.create(sign_codes(spark, d))
+    return setjoin.mutualize(hamming.bucketed(c, c, DIM, 4, PLACES, 1))
 
 
 # ---- booleanizer ----------------------------------------------------------------------------------------------------
@@ -344,11 +344,11 @@ def rank_filtered_topk(spark, d):
     return setjoin.best(s, 5).select("src", "dst", r6("dist", "dist"), "rank")
 
 
-@query("index_remove_keep", f"with {RARE} select count(distinct id) as size, count(distinct feature) as features, 1::bigint as ranks from bits where id % 3 <> 0 and id % 2 = 0")
+@query("index_remove_keep", f"with {RARE} select count(distinct id) as size, count(distinct feature) as features, 1::bigint as ranks from bits where id not in (select doc_id from labels where toxic = 1) and id in (select doc_id from labels)")
 def index_remove_keep(spark, d):
     ix = setjoin.create(rare_bits(spark, d))
-    ids = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
-    return setjoin.describe(setjoin.keep(setjoin.remove(ix, ids.where("id % 3 = 0")), ids.where("id % 2 = 0")))
+    lab = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    return setjoin.describe(setjoin.keep(setjoin.remove(ix, lab.where("toxic = 1")), lab))
 
 
 @query("clean_text", "select conv_id, turn, trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: not regexp_matches(ltrim(x), '^[>|%:]')), chr(10)), '\\S+@\\S+', ' ', 'g'), '(?i)\\b[\\w-]+(\\.[\\w-]+)*\\.(edu|com|org|net|gov)\\b', ' ', 'g')) as cleaned from conversations")
@@ -564,12 +564,12 @@ def spectral_embed(spark, d):
 
 def landmark_hoods(spark, d) -> DataFrame:
     c = hamming.create(sign_codes(spark, d))
-    h = hamming.exact(c.where("id % 50 = 0"), c.where("id % 5 = 1"), DIM, 4)
+    h = hamming.exact(c.where("id % 50 = 0"), c, DIM, 4)
     return h.withColumn("dist", F.col("dist") / float(DIM))
 
 
 LAND = f"""
-with {CODES}, d as (select x.id as src, y.id as dst, {HAM} as dist from codes x, codes y where x.id % 50 = 0 and y.id % 5 = 1 and x.id <> y.id),
+with {CODES}, d as (select x.id as src, y.id as dst, {HAM} as dist from codes x, codes y where x.id % 50 = 0 and x.id <> y.id),
 h as (select src, dst, dist / 64.0::double as dist from (select *, row_number() over (partition by src order by dist, dst) as rank from d) where rank <= 4)
 """
 
