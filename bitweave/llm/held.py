@@ -18,13 +18,18 @@ _slot: dict[Hashable, Any] = {}
 
 def held(key: Hashable, build: Callable[[], Any]) -> Any:
     if key not in _slot:
-        if _slot:
-            _slot.clear()
-            give_back()
+        let_go()
         _slot[key] = build()
     return _slot[key]
 
 
+def let_go() -> None:
+    """Drops what is kept."""
+    if _slot:
+        _slot.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Frees what allocators hold on to."""
     import pyarrow as pa

@@ -29,13 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.llm.held import small_batches
+from bitweave.llm.held import let_go, small_batches
 from bitweave.llm.token_counts import tokenizer
 from bitweave.llm.word_encoder import encoder, portions, ragged
 
 MAGIC = 0x31425653
 END_ID = 2
 FILE_IDS = 16 << 20
+PART_IDS = 1 << 18  # ids that are packed or unpacked at once
 
 
 def lengths_table() -> np.ndarray:
@@ -149,7 +150,7 @@ def encode_file(known: np.ndarray, key: np.ndarray, n: np.ndarray, ids: np.ndarr
     ends = np.cumsum(n)
     lo = 0
     while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART_IDS, side="right")))
         c, d = pack(rank[ids[(ends[lo - 1] if lo else 0) : ends[hi - 1]]], n[lo:hi])
         ctrl.append(c.tobytes())
         data.append(d.tobytes())
@@ -160,6 +161,7 @@ def encode_file(known: np.ndarray, key: np.ndarray, n: np.ndarray, ids: np.ndarr
 
 def _write(folder: str, file_ids: int, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()  # the encoder's table
         held: list[pd.DataFrame] = []
         bucket, part, size = -1, 0, 0
 
@@ -227,7 +229,7 @@ def _read(folder: str, digests: bool):
                 firsts = ends - n + start
                 lo = at_data = 0
                 while lo < docs:  # some documents at a time, so that a file needs little more memory than its bytes
-                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
+                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART_IDS, side="right")))
                     c = ctrl[(c_ends[lo - 1] if lo else 0) : c_ends[hi - 1]]
                     own = n[lo:hi]
                     size = _data_bytes(c, own)
