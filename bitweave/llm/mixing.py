@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 #: documents that a shard holds about; blocks per source that the whole is cut into, at most MAX_BLOCK words each
-SHARD_DOCS = 20_000
+SHARD_DOCS = 4_000
 BLOCKS_PER_SOURCE = 2_000
 MAX_BLOCK = 1_024
 

@@ -82,7 +82,7 @@ with sized as (
 ), quota as (
   select source, count(*) as quota from quotients where r <= seats group by source
 ), src as (
-  select s.source, source_size, target, block, coalesce(quota, 0) as quota, cast(greatest(1, ceil(n_docs / 20000.0)) as bigint) as n_shards
+  select s.source, source_size, target, block, coalesce(quota, 0) as quota, cast(greatest(1, ceil(n_docs / 4000.0)) as bigint) as n_shards
   from seats s left join quota q on s.source is not distinct from q.source
 ), d as (
   select doc_id, z.source, size, source_size, target, block, quota,
