@@ -54,6 +54,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_staged: list[str] = []
+
+
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Deletes what :func:`stage` wrote so far, but for the tables that ``keep`` reads; for use once a result is written."""
+    held = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for at in list(_staged):
+        if at.split(":", 1)[-1].lstrip("/") not in held:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(conf).delete(path, True)
+            _staged.remove(at)
+
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -69,6 +83,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
         df.write.parquet(at)
     finally:
         spark.conf.set(_CLEAN, before)
+    _staged.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
