@@ -137,9 +137,9 @@ def candidates(classes: DataFrame, same: int, ratio: float, step: float, salt: i
     """(a, b, votes), a < b: pairs of classes that met in some bucket and may be linked, and in how many."""
     part = F.floor(F.log(F.col("size").cast("double")) / math.log(step) + 1e-9).cast("int")
     rows = classes.where("size > 0").select(F.col("rep").alias("r"), F.col("size").cast("int").alias("s"), part.alias("p"), F.posexplode("keys").alias("band", "key"))
-    placed = rows.repartition("key")
-    buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s", "r", "p")).alias("first")).where("n > 1")
-    met = placed.join(buckets, "key").withColumn("salt", F.pmod(F.hash("r"), F.ceil(F.col("n") / salt).cast("int")))
+    # a hot key is merged before this shuffle, its join may be split, and its rows part by salt for the window
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s", "r", "p")).alias("first")).where("n > 1")
+    met = rows.join(buckets, "key").withColumn("salt", F.pmod(F.hash("r"), F.ceil(F.col("n") / salt).cast("int"))).repartition("key", "salt")
     before = F.lag(F.struct("s", "r", "p")).over(Window.partitionBy("key", "salt").orderBy("s", "r"))
     met = met.select("r", "s", "p", "band", F.array_distinct(F.array("first", before)).alias("others"))
     pairs = met.select("r", "s", "p", "band", F.explode("others").alias("o")).where(F.col("o").isNotNull() & (F.col("o.r") != F.col("r")))
