@@ -9,9 +9,8 @@ Two texts are linked where the smaller shingle set lies to at least ``containmen
    with two rows a band is tuned for each separately: the fewest bands of which a pair at that threshold shares less
    than two with probability ``miss``: fewer within a partition, more across neighbours, all of them prefixes of one
    list of bands.
-3. In a bucket nobody meets everybody: each class is paired with the bucket's smallest and with its neighbour by size.
-   A pair that met in two buckets is a candidate; texts that only share a passage seldom do. Buckets of any size are
-   joined and windowed in salted parts.
+3. In a bucket everybody meets everybody: a bucket above ``tile`` classes is cut into chunks by a hash, and each pair of
+   chunks is a tile of its own. A pair that shares two buckets is a candidate; texts that only share a passage seldom do.
 4. Pairs are verified exactly, by set intersection: first each class with the one it shares most bands with, then, of
    the other pairs, those that still lie in different components. Links give components; pairs inside a component say
    nothing new and are not expanded.
@@ -34,7 +33,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bitweave.llm.held import small_batches
 from bitweave.llm.shingles import minhash, mix, shingle_sets
@@ -42,7 +40,7 @@ from bitweave.llm.word_encoder import portions
 from bitweave.operators.components import connected_components
 from bitweave.session import stage
 
-K, CONTAINMENT, RATIO, STEP, MISS, SALT = 3, 0.6, 0.6, 1.3, 1e-3, 20_000
+K, CONTAINMENT, RATIO, STEP, MISS, TILE = 3, 0.6, 0.6, 1.3, 1e-3, 256
 
 
 def jaccard_at(containment: float, x: float) -> float:
@@ -133,18 +131,23 @@ def verify(pairs: DataFrame, sets: DataFrame, containment: float, group: int = 5
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInPandas(_compare(containment), "a long, b long")
 
 
-def candidates(classes: DataFrame, same: int, ratio: float, step: float, salt: int = SALT) -> DataFrame:
-    """(a, b, votes), a < b: pairs of classes that met in some bucket and may be linked, and in how many."""
+def candidates(classes: DataFrame, same: int, ratio: float, step: float, tile: int = TILE) -> DataFrame:
+    """(a, b, votes, tile), a < b: pairs of classes that share at least two buckets and may be linked, how many buckets
+    they share, and a tile that holds both: one of the largest, so that few tiles serve most pairs."""
     part = F.floor(F.log(F.col("size").cast("double")) / math.log(step) + 1e-9).cast("int")
     rows = classes.where("size > 0").select(F.col("rep").alias("r"), F.col("size").cast("int").alias("s"), part.alias("p"), F.posexplode("keys").alias("band", "key"))
-    # a hot key is merged before this shuffle, its join may be split, and its rows part by salt for the window
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s", "r", "p")).alias("first")).where("n > 1")
-    met = rows.join(buckets, "key").withColumn("salt", F.pmod(F.hash("r"), F.ceil(F.col("n") / salt).cast("int"))).repartition("key", "salt")
-    before = F.lag(F.struct("s", "r", "p")).over(Window.partitionBy("key", "salt").orderBy("s", "r"))
-    met = met.select("r", "s", "p", "band", F.array_distinct(F.array("first", before)).alias("others"))
-    pairs = met.select("r", "s", "p", "band", F.explode("others").alias("o")).where(F.col("o").isNotNull() & (F.col("o.r") != F.col("r")))
-    fits = (F.least("s", "o.s") >= ratio * F.greatest("s", "o.s")) & ((F.col("band") < same) | (F.col("p") != F.col("o.p")))
-    return pairs.where(fits).groupBy(F.least("r", "o.r").alias("a"), F.greatest("r", "o.r").alias("b")).agg(F.count(F.lit(1)).alias("votes")).where("votes > 1")
+    # a hot key is counted before this shuffle and its join may be split
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = rows.join(buckets, "key").withColumn("parts", F.ceil(F.col("n") / tile).cast("int")).withColumn("chunk", F.pmod(F.hash("r"), F.col("parts")))
+    # a chunk meets itself (side 0) and every other; the tile's number has the bucket's size ahead of a hash
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low = F.xxhash64("key", "band", F.least("chunk", "other"), F.greatest("chunk", "other")).bitwiseAND(F.lit((1 << 41) - 1))
+    number = F.shiftleft(F.least("n", F.lit((1 << 21) - 1)), 41).bitwiseOR(low)
+    tiles = stage(met.select(number.alias("tile"), F.signum(F.col("other") - F.col("chunk")).cast("int").alias("side"), "r", "s", "p", "band"), "tiles")
+    x, y = tiles, tiles.select("tile", *(F.col(c).alias(f"{c}2") for c in ("side", "r", "s", "p")))
+    fits = (F.least("s", "s2") >= ratio * F.greatest("s", "s2")) & ((F.col("band") < same) | (F.col("p") != F.col("p2")))
+    pairs = x.join(y.hint("merge"), "tile").where((F.col("side") == -F.col("side2")) & (F.col("r") < F.col("r2")) & fits)
+    return pairs.groupBy(F.col("r").alias("a"), F.col("r2").alias("b")).agg(F.count(F.lit(1)).alias("votes"), F.max("tile").alias("tile")).where("votes > 1")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, containment: float = CONTAINMENT, ratio: float = RATIO, step: float = STEP, miss: float = MISS) -> DataFrame:

@@ -129,6 +129,14 @@ def test_verify_matches_sets_and_bands(spark):
     assert (1 - p) ** n + n * p * (1 - p) ** (n - 1) <= 1e-3 < (1 - p) ** (n - 1) + (n - 1) * p * (1 - p) ** (n - 2)
 
 
+def test_all_of_a_bucket_meet(spark):
+    rows = [(i, 100 + i, [7, 8, 1000 + i]) for i in range(40)] + [(100, 300, [7, 8, 1]), (101, 110, [7, 2, 3])]
+    d = spark.createDataFrame(rows, "rep long, size long, keys array<long>")
+    for kw in ({}, {"tile": 8}):
+        got = {(r.a, r.b): r.votes for r in near_dedup.candidates(d, 3, 0.6, 1.3, **kw).collect()}
+        assert got == {(a, b): 2 for a in range(40) for b in range(a + 1, 40)}
+
+
 # ---- near-duplicates of vectors ----
 
 
