@@ -11,11 +11,10 @@ Two texts are linked where the smaller shingle set lies to at least ``containmen
    list of bands.
 3. In a bucket everybody meets everybody: a bucket above ``tile`` classes is cut into chunks by a hash, and each pair of
    chunks is a tile of its own. A pair that shares two buckets is a candidate; texts that only share a passage seldom do.
-4. Pairs are verified exactly, by set intersection: first each class with the one it shares most bands with, then, of
-   the other pairs, those that still lie in different components. Links give components; pairs inside a component say
-   nothing new and are not expanded.
+4. All candidates are verified exactly, by set intersection, each in a tile of the largest bucket both are in, so that a
+   set goes once to the tile and not once to each pair. Links are counted per class and give components.
 
-Results: class_id (smallest id of equal text), n_links (verified links of the class to other texts), component_id
+Results: class_id (smallest id of equal text), n_links (links of the class to other texts), component_id
 (smallest id reachable), kept (doc_id = component_id).
 
 Nulls: a null text is a text of its own that links with nothing, as do empty texts and texts without a word, but equal
@@ -41,6 +40,7 @@ from bitweave.operators.components import connected_components
 from bitweave.session import stage
 
 K, CONTAINMENT, RATIO, STEP, MISS, TILE = 3, 0.6, 0.6, 1.3, 1e-3, 256
+_NONE = np.zeros(0, "<u4")
 
 
 def jaccard_at(containment: float, x: float) -> float:
@@ -98,20 +98,21 @@ def _sets(k: int):
 
 
 def _compare(containment: float):
-    """Streams rows sorted by group, the head first: holds one set."""
+    """Streams rows sorted by tile, its sets first, then its pairs: holds the sets of one tile."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, head = None, np.zeros(0, np.uint32)
+        now, sets = None, {}
         for pdf in batches:
             a_out, b_out = [], []
-            for a, salt, role, b, s in zip(pdf["a"], pdf["salt"], pdf["role"], pdf["id"], pdf["set"]):
-                own = np.frombuffer(s, "<u4")
+            for tile, role, a, b, s in zip(pdf["tile"], pdf["role"], pdf["a"], pdf["b"], pdf["set"]):
+                if tile != now:
+                    now, sets = tile, {}
                 if role == 0:
-                    now, head = (a, salt), own
+                    sets[a] = np.frombuffer(s, "<u4")
                     continue
-                if now != (a, salt) or not len(own) or not len(head):
+                small, large = sorted((sets.get(a, _NONE), sets.get(b, _NONE)), key=len)
+                if not len(small):
                     continue
-                small, large = (own, head) if len(own) <= len(head) else (head, own)
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
                 if np.count_nonzero(large[at] == small) >= containment * len(small):
@@ -123,12 +124,15 @@ def _compare(containment: float):
 
 
 def verify(pairs: DataFrame, sets: DataFrame, containment: float, group: int = 512) -> DataFrame:
-    """The pairs (a, b) that hold, from (id, set). A set that many meet is sent to parts of ``group`` of them each."""
-    heads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / group).cast("int"))
-    members = pairs.join(heads, "a").select("a", F.pmod(F.hash("b"), F.col("parts")).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
-    firsts = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    rows = members.unionByName(firsts).join(sets.hint("merge"), "id")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInPandas(_compare(containment), "a long, b long")
+    """The pairs (a, b) that hold, from (id, set). A set is sent once to each tile of pairs that needs it; without a
+    column ``tile`` the pairs of each a are one, or parts of about ``group`` of them."""
+    if "tile" not in pairs.columns:
+        heads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
+        pairs = pairs.join(heads, "a").withColumn("tile", F.xxhash64("a", F.pmod(F.hash("b"), F.col("parts"))))
+    members = pairs.select("tile", F.col("a").alias("id")).unionByName(pairs.select("tile", F.col("b").alias("id"))).distinct()
+    held = members.join(sets.hint("merge"), "id").select("tile", F.lit(0).alias("role"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "set")
+    asked = pairs.select("tile", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("binary").alias("set"))
+    return held.unionByName(asked).repartition("tile").sortWithinPartitions("tile", "role").mapInPandas(_compare(containment), "a long, b long")
 
 
 def candidates(classes: DataFrame, same: int, ratio: float, step: float, tile: int = TILE) -> DataFrame:
@@ -164,13 +168,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     pairs = stage(candidates(reps, same, ratio, step), "candidates")
     wanted = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
     sets = stage(_only(d, "id", wanted).join(wanted.hint("merge"), "id").mapInPandas(_sets(k), "id long, set binary"), "sets")
-    both = pairs.select("a", "b", "votes", F.col("a").alias("x")).unionByName(pairs.select("a", "b", "votes", F.col("b").alias("x")))
-    best = both.groupBy("x").agg(F.max(F.struct("votes", -F.col("a"), -F.col("b"))).alias("m")).select((-F.col("m.col2")).alias("a"), (-F.col("m.col3")).alias("b")).distinct()
-    first = stage(verify(best, sets, containment).distinct(), "links")
-    comps = stage(connected_components(first, "a", "b"), "components")
-    ca, cb = comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), comps.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = stage(first.unionByName(verify(rest, sets, containment)).distinct(), "links")
+    links = stage(verify(pairs, sets, containment), "links")
     comps = connected_components(links, "a", "b")
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     about = classes.select("h", "rep", "n_copies").join(degree, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")

@@ -137,6 +137,16 @@ def test_all_of_a_bucket_meet(spark):
         assert got == {(a, b): 2 for a in range(40) for b in range(a + 1, 40)}
 
 
+def test_all_links_count(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = {i: " ".join(rng.choice("xyz") if rng.random() < 0.03 else w for w in base) for i in range(12)}
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    sets = {i: set(zip(w := t.split(), w[1:], w[2:])) for i, t in texts.items()}
+    want = {i: sum(len(sets[i] & sets[j]) >= 0.6 * min(len(sets[i]), len(sets[j])) for j in sets if j != i) for i in sets}
+    assert {r.doc_id: r.n_links for r in got} == want and min(want.values()) > 5
+
+
 # ---- near-duplicates of vectors ----
 
 
