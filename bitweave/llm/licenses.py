@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
 Candidate blocks are the lines of a text that hold a license word, cut into sentences' worth of words at most
-``max_words`` long, with overlap. Each block is compressed on its own and with each template as a zstandard raw
-dictionary; templates are ranked by the bytes saved, as a share of the block's own. The best ``winners`` are confirmed
-by wording: the words of the template's required phrase must occur in the block in order, with at most ``slack`` other
-words between, and no word that a template forbids. What is missing or added between is reported as the difference.
+``max_words`` long, with overlap. A template is confirmed by wording: the words of one of its phrases must occur in
+order, with at most ``slack`` other words between and none of them forbidden. A block may confirm several templates; each
+is reported, ranked by the bytes saved where the block is compressed with the template as a zstandard raw dictionary, as a
+share of the block's own. Wordings that no block holds whole are looked for ``REACH`` characters around the blocks. What
+is added between is reported as the difference. The license words hold one word of every phrase.
 
 The templates are short standard notices with their identifiers. Blocks are taken from whole texts.
 
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 
 from bitweave.llm.held import held, small_batches
 
-WORDS = "licen[sc]e|copyright|warrant|spdx|public domain|all rights reserved|creativecommons|creative commons|cc[ -]by|cc0|as is"
+BASE = "licen[sc]e|copyright|warrant|spdx|public domain|all rights reserved|creativecommons|creative commons|cc[ -]by|cc0|as is"
 _WORD = re.compile(r"[a-z0-9.+-]*[a-z0-9+]", re.I)
-_HINT = re.compile(WORDS, re.I)
+_BROKEN = re.compile(r"-[ \t]*\r?\n\s*")
+REACH = 600
 
 
 @dataclass(frozen=True)
@@ -43,8 +45,8 @@ class Template:
 TEMPLATES = (
     Template("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.', ("apache license version 2.0", "apache-2.0", "apache 2.0 license")),
     Template("MIT", 'Released under the MIT License. Licensed under the MIT license. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.', ("mit license", "permission is hereby granted free of charge to any person obtaining a copy", "license mit", "spdx-license-identifier mit")),
-    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("gnu general public license version 3", "gnu general public license v3", "gpl-3.0", "gplv3", "gnu general public license either version 3"), ("lesser", "affero")),
-    Template("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("gnu general public license version 2", "gnu general public license v2", "gpl-2.0", "gplv2", "gnu general public license either version 2"), ("lesser", "affero")),
+    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("gnu general public license version 3", "gnu general public license v3", "gpl-3.0", "gplv3", "gnu general public license either version 3", "gnu general public license as published by the free software foundation either version 3"), ("lesser", "affero")),
+    Template("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ("gnu general public license version 2", "gnu general public license v2", "gpl-2.0", "gplv2", "gnu general public license either version 2", "gnu general public license as published by the free software foundation either version 2"), ("lesser", "affero")),
     Template("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 or version 3 of the License.", ("gnu lesser general public license", "lgpl-2.1", "lgpl-3.0", "lgplv3")),
     Template("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.", ("gnu affero general public license", "agpl-3.0", "agplv3")),
     Template("BSD-3-Clause", "Licensed under the BSD 3-Clause License. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products.", ("bsd 3-clause", "bsd-3-clause", "3-clause bsd", "neither the name of the copyright holder nor the names of its contributors")),
@@ -60,13 +62,30 @@ TEMPLATES = (
 
 
 def words(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text)]
+    """In lower case; one broken over lines at its hyphen is whole."""
+    return [w.lower() for w in _WORD.findall(_BROKEN.sub("-", text))]
+
+
+def hints(templates: tuple[Template, ...]) -> str:
+    """A pattern that is in every text that holds a phrase: of each phrase one word, whatever stands between its words."""
+    out = [BASE]
+    for phrase in (p for t in templates for p in t.phrases):
+        own = words(phrase)
+        if not any(re.search(BASE, w) for w in own):
+            anchor = max((w for w in own if re.search("[a-z]", w)), key=len, default=own[0])
+            own = re.escape(anchor).replace(r"\-", r"-\s*")
+            out.append(own if len(anchor) > 2 else rf"\b{own}\b")
+    return "|".join(dict.fromkeys(out))
+
+
+WORDS = hints(TEMPLATES)
+_HINT = re.compile(WORDS, re.I)
 
 
-def blocks(text: str, max_words: int = 60, overlap: int = 20) -> list[tuple[int, int]]:
+def blocks(text: str, max_words: int = 60, overlap: int = 20, hint: re.Pattern = _HINT) -> list[tuple[int, int]]:
     """(from, to) of the candidate blocks: parts of lines around license words, at most ``max_words`` long each."""
     out: list[tuple[int, int]] = []
-    for hit in _HINT.finditer(text):
+    for hit in hint.finditer(text):
         lo = text.rfind("\n", 0, hit.start()) + 1
         hi = text.find("\n", hit.end())
         hi = len(text) if hi < 0 else hi
@@ -86,10 +105,10 @@ def blocks(text: str, max_words: int = 60, overlap: int = 20) -> list[tuple[int,
     return out
 
 
-def wording(block: list[str], phrase: list[str], slack: int = 2) -> list[str] | None:
+def wording(block: list[str], phrase: list[str], slack: int = 2, forbidden: frozenset[str] = frozenset()) -> list[str] | None:
     """The words between those of the phrase where it occurs in order, at most ``slack`` in each gap; None if it doesn't.
 
-    Of several occurrences the one with the fewest words between.
+    Of several occurrences the one with the fewest words between, none of them forbidden.
     """
     best = None
     for i, w in enumerate(block):
@@ -100,7 +119,7 @@ def wording(block: list[str], phrase: list[str], slack: int = 2) -> list[str] |
             nxt: dict[int, list[str]] = {}
             for at, extra in states.items():
                 for j in range(at + 1, min(len(block), at + 2 + slack)):
-                    if block[j] == p:
+                    if block[j] == p and forbidden.isdisjoint(block[at + 1 : j]):
                         more = extra + block[at + 1 : j]
                         if j not in nxt or len(more) < len(nxt[j]):
                             nxt[j] = more
@@ -112,60 +131,71 @@ def wording(block: list[str], phrase: list[str], slack: int = 2) -> list[str] |
 
 
 class Scanner:
-    def __init__(self, templates: tuple[Template, ...] = TEMPLATES, winners: int = 4, slack: int = 2, level: int = 3):
+    def __init__(self, templates: tuple[Template, ...] = TEMPLATES, slack: int = 2, level: int = 3):
         import zstandard
 
         self.templates = sorted(templates, key=lambda t: t.name)
         self.phrases = [[words(p) for p in t.phrases] for t in self.templates]
         self.alone = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in self.templates]
-        self.winners, self.slack = winners, slack
+        self.slack, self.hint = slack, re.compile(hints(tuple(templates)), re.I)
 
-    def judge(self, block: str) -> tuple[str, float, str] | None:
-        """Template, share of bytes saved, difference in words; None if no winner's wording is there."""
-        raw = block.lower().encode()
-        own = len(self.alone.compress(raw))
-        saved = [(own - len(c.compress(raw))) / own for c in self.given]
+    def judge_all(self, block: str) -> list[tuple[str, float, str]]:
+        """Template, share of bytes saved, difference in words of each template whose wording is there, most saved first."""
         w = words(block)
-        ranked = sorted(range(len(saved)), key=lambda k: (-saved[k], self.templates[k].name))
-        for n, k in enumerate(ranked):
-            if n >= self.winners or saved[k] <= 0:
-                break
-            if set(self.templates[k].forbidden) & set(w):
-                continue
-            found = [x for x in (wording(w, p, self.slack) for p in self.phrases[k]) if x is not None]
+        out = []
+        for t, phrases, c in zip(self.templates, self.phrases, self.given):
+            found = [x for x in (wording(w, p, self.slack, frozenset(t.forbidden)) for p in phrases) if x is not None]
             if found:
-                return self.templates[k].name, saved[k], " ".join(min(found, key=len))
-        return None
+                raw = block.lower().encode()
+                own = len(self.alone.compress(raw))
+                out.append((t.name, (own - len(c.compress(raw))) / own, " ".join(min(found, key=len))))
+        return sorted(out, key=lambda x: (-x[1], x[0]))
 
-
-def _scan(templates: tuple[Template, ...], winners: int, slack: int):
+    def judge(self, block: str) -> tuple[str, float, str] | None:
+        """The first of them; None if no template's wording is there."""
+        return next(iter(self.judge_all(block)), None)
+
+    def find(self, text: str, judged: dict[str, list[tuple[str, float, str]]]) -> list[tuple[int, int, str, float, str]]:
+        """from, to and what judge_all says, of each block; wordings that no block holds whole are looked for around them."""
+
+        def of(a: int, b: int) -> list[tuple[str, float, str]]:
+            block = text[a:b]
+            if block not in judged:
+                judged[block] = self.judge_all(block)
+            return judged[block]
+
+        at = blocks(text, hint=self.hint)
+        out = [(a, b, *x) for a, b in at for x in of(a, b)]
+        seen = {r[2] for r in out}
+        for a, b in at:
+            a, b = max(0, a - REACH), min(len(text), b + REACH)
+            new = [(a, b, *x) for x in of(a, b) if x[0] not in seen]
+            out += new
+            seen |= {r[2] for r in new}
+        return out
+
+
+def _scan(templates: tuple[Template, ...], slack: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        args = (templates, winners, slack)
+        args = (templates, slack)
         scanner = held(("licenses", args), lambda: Scanner(*args))
         for pdf in batches:
-            judged: dict[str, tuple | None] = {}
-            rows = []
-            for k, t in zip(pdf["k"], pdf["t"]):
-                for a, b in blocks(t):
-                    block = t[a:b]
-                    if block not in judged:
-                        judged[block] = scanner.judge(block)
-                    if judged[block]:
-                        rows.append((k, a, b, *judged[block]))
+            judged: dict[str, list[tuple[str, float, str]]] = {}
+            rows = [(k, *r) for k, t in zip(pdf["k"], pdf["t"]) for r in scanner.find(t, judged)]
             yield pd.DataFrame(rows, columns=["k", "from", "to", "license", "saved", "difference"])
 
     return run
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES, winners: int = 4, slack: int = 2) -> DataFrame:
-    """key, from, to (characters), license, saved, difference of each block found; a narrow plan."""
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES, slack: int = 2) -> DataFrame:
+    """key, from, to (characters), license, saved, difference of each license of each block found; a narrow plan."""
     kind = dict(docs.dtypes)[key]
     # the word filter runs in the JVM; only texts with a license word reach Python
-    slim = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(f"(?i)({WORDS})"))
-    return slim.mapInPandas(_scan(templates, winners, slack), f"k {kind}, from long, to long, license string, saved double, difference string").withColumnRenamed("k", key)
+    slim = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(f"(?i)({hints(templates)})"))
+    return slim.mapInPandas(_scan(templates, slack), f"k {kind}, from long, to long, license string, saved double, difference string").withColumnRenamed("k", key)
 
 
 def documents(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, licenses (ascending), n_blocks, saved (the most) of each document with a finding."""
-    return found.groupBy(key).agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.count(F.lit(1)).alias("n_blocks"), F.max("saved").alias("saved"))
+    return found.groupBy(key).agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.countDistinct("from", "to").alias("n_blocks"), F.max("saved").alias("saved"))

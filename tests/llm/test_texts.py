@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -213,6 +214,20 @@ def test_licenses(spark, odd_documents):
     assert licenses.scan(odd_documents).count() == 0 and licenses.documents(licenses.scan(empty(spark))).count() == 0
 
 
+def test_every_license_of_a_text(spark):
+    texts = {0: "SPDX-License-Identifier: MIT OR Apache-2.0", 1: "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", 2: "all of it is GPLv3", 3: "the GNU General Public License, version 3, or the GNU Lesser General Public License"}
+    want = {0: {"MIT", "Apache-2.0"}, 1: {"MIT", "Apache-2.0"}, 2: {"GPL-3.0"}, 3: {"GPL-3.0", "LGPL"}}
+    for t in licenses.TEMPLATES:
+        for wide in (10_000, 76, 30):
+            texts[n := len(texts)] = textwrap.fill(t.text, wide)
+            want[n] = {t.name}
+    got = {i: set() for i in texts}
+    for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.license)
+    assert not {i: (got[i], want[i]) for i in texts if not want[i] <= got[i]}
+    assert got[0] == want[0] and got[2] == want[2] and got[3] == want[3]
+
+
 # ---- leaks ----
 
 
