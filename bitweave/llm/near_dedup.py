@@ -1,26 +1,36 @@
 """MinHash near-duplicates by a containment ensemble.
 
-Two texts are linked where the smaller shingle set lies to at least ``containment`` in the larger one and is at least
-``ratio`` of its size. Shingles are ``k`` words.
-
-1. Texts that are equal form a class; the smallest id stands for it.
-2. Classes are partitioned by size of their sets, each partition's upper end ``step`` times its lower. For a pair of
-   partitions whose sizes can differ by a factor x, containment c means a Jaccard of at least c / (1 + x - c). Banding
-   with two rows a band is tuned for each separately: the fewest bands of which a pair at that threshold shares less
-   than two with probability ``miss``: fewer within a partition, more across neighbours, all of them prefixes of one
-   list of bands.
-3. In a bucket everybody meets everybody: a bucket above ``tile`` classes is cut into chunks by a hash, and each pair of
-   chunks is a tile of its own. A pair that shares two buckets is a candidate; texts that only share a passage seldom do.
-4. All candidates are verified exactly, by set intersection, each in a tile of the largest bucket both are in, so that a
-   set goes once to the tile and not once to each pair. Links are counted per class and give components.
-
-Results: class_id (smallest id of equal text), n_links (links of the class to other texts), component_id
-(smallest id reachable), kept (doc_id = component_id).
+Two texts are linked where at least ``containment`` of the smaller shingle set lies in the larger one, whatever their
+sizes. Shingles are ``k`` words. Texts that are equal form a class; the smallest id stands for it.
+
+Classes are partitioned by size of their sets, each partition's upper end ``step`` times its lower. In a pair of
+partitions whose sizes can differ by the factor x, containment c means a Jaccard of c / (1 + x - c) at least, and each
+pair of partitions has its own tuning for that threshold:
+
+1. Sizes within ``near`` of each other: bands of two rows. The fewest bands are taken of which a pair at the threshold
+   shares less than ``votes`` with probability ``miss``: fewer within a partition, more across two, all of them prefixes
+   of one list. Buckets that have the same smallest member lie in one task, which counts a pair's buckets before
+   anything is sent; a bucket above ``tile`` classes is cut into chunks by a hash, and each pair of chunks is a task of
+   its own. Pairs that share ``votes`` buckets are verified exactly, by set intersection.
+2. Sizes further apart: the threshold falls with x, to where two rows find nothing, so bands have one row. The minima are
+   the ``bottom`` smallest hashes of the smaller text's shingles (all of its shingles, if it has ``whole`` at most), looked
+   up among all shingles of larger texts. Of m such hashes a contained text shares ``need`` at least, so of the m + 1 - need
+   rarest it shares one: only those are keys, and what many texts hold is no key unless nothing rarer is left. Under a key
+   all smaller texts meet all larger ones in tiles; a pair counts under the first key it shares, so no pair is ever
+   shuffled. For texts hashed whole that count is exact; pairs of others are verified by set intersection.
+
+Links of the first kind give components, the groups of near-copies; of each one text is kept. Links of the second kind
+are containment: a short text in many long ones would join all of them to one group, so they are counted and named, but
+group nothing.
+
+Results of each row: class_id (smallest id of equal text), n_copies, n_links (links of the class to other texts, of both
+kinds), n_containers and container_id (larger texts that hold it by links of the second kind: number, smallest class),
+component_id (smallest id reachable by links of the first kind), kept (doc_id = component_id).
 
 Nulls: a null text is a text of its own that links with nothing, as do empty texts and texts without a word, but equal
-ones among those, the null ones included, are copies only if not null and not empty. Ids are taken to be unique;
-repeated rows are copies of each other. A null id takes part in no link. Very long texts are compared whole. Empty
-table: an empty result. Other columns are ignored, whatever their names.
+ones among those are copies if not null and not empty. A null id takes part in no link. Ids are taken to be unique;
+repeated rows are copies of each other and all of them are ``kept`` if one is. Very long texts are compared whole. Ties:
+the smaller id. Empty table: an empty result. Other columns are ignored, whatever their names. Ids must be whole numbers.
 """
 
 from __future__ import annotations
@@ -34,12 +44,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitweave.llm.held import small_batches
-from bitweave.llm.shingles import minhash, mix, shingle_sets
-from bitweave.llm.word_encoder import portions
+from bitweave.llm.shingles import fingerprints, minhash, mix, narrow
+from bitweave.llm.word_encoder import portions, ragged
 from bitweave.operators.components import connected_components
 from bitweave.session import stage
 
-K, CONTAINMENT, RATIO, STEP, MISS, TILE = 3, 0.6, 0.6, 1.3, 1e-3, 256
+K, CONTAINMENT, NEAR, STEP, VOTES, MISS, TILE = 3, 0.6, 1.3, 1.14, 3, 1e-2, 256
+#: A text of at most WHOLE shingles is hashed whole; of others BOTTOM hashes, NEED of which a contained text shares (0.995).
+WHOLE, BOTTOM, NEED = 64, 16, 5
+#: Smaller and larger texts of a tile; the most bits of the filter that larger texts' shingles pass.
+SMALLER, LARGER, FILTER_BITS = 2048, 1024, 30
+_BAND = 7  # low bits of a key that hold its band
 _NONE = np.zeros(0, "<u4")
 
 
@@ -48,38 +63,56 @@ def jaccard_at(containment: float, x: float) -> float:
     return containment / (1 + x - containment)
 
 
-def bands_for(jaccard: float, miss: float, rows: int = 2) -> int:
-    """The fewest bands of which a pair of that Jaccard shares two with a probability of at least 1 - miss."""
-    p, n = jaccard**rows, 2
-    while (1 - p) ** n + n * p * (1 - p) ** (n - 1) > miss:
-        n += 1
-    return n
+def missed(p: float, n: int, votes: int) -> float:
+    """Probability of less than ``votes`` successes of n."""
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(min(votes, n + 1)))
 
 
-def _only(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 21) -> DataFrame:
-    """Rows that may have a wanted key, so that fewer are shuffled: a bitmap of 2**bits places by hash, 2**(bits - 6)
-    numbers at most however many keys there are, is broadcast. A join must still settle which do."""
-    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    words = wanted.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_p % 64 as int)))").alias("_b"))
-    marked = rows.withColumn("_p", place).withColumn("_w", F.shiftright("_p", 6)).join(F.broadcast(words), "_w")
-    return marked.where("shiftright(_b, cast(_p % 64 as int)) & 1 = 1").drop("_p", "_w", "_b")
+def bands_for(jaccard: float, miss: float, votes: int = VOTES, rows: int = 2) -> int:
+    """The fewest bands of which a pair of that Jaccard shares ``votes`` with a probability of at least 1 - miss."""
+    n = votes
+    while missed(jaccard**rows, n, votes) > miss:
+        n += 1
+    if n > 1 << _BAND:
+        raise ValueError(f"more than {1 << _BAND} bands")
+    return n
 
 
 def _texts(pdf: pd.DataFrame) -> list[str]:
     return [t if isinstance(t, str) else "" for t in pdf["t"]]
 
 
-def _sign(k: int, bands: int):
+def _lists(flat: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    return np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
+
+
+def bottom_sketch(prints: np.ndarray, n: np.ndarray, whole: int, bottom: int) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of texts of at most ``whole``, of others those of the ``bottom`` smallest hashes; and their numbers."""
+    doc = np.repeat(np.arange(len(n)), n)
+    h = mix(prints + np.uint64(0x5851F42D4C957F2D))
+    # four times as many as wanted are expected below this, so that few must be sorted
+    limit = np.where(n <= max(whole, 8 * bottom), np.inf, 2.0**64 * 4 * bottom / np.maximum(n, 1))
+    some = np.flatnonzero(h < limit[doc])
+    some = some[np.lexsort((h[some], doc[some]))]
+    count = np.bincount(doc[some], minlength=len(n))
+    pos = np.arange(len(some)) - np.repeat(np.cumsum(count) - count, count)
+    keep = some[(pos < bottom) | (n[doc[some]] <= whole)]
+    return prints[keep], np.bincount(doc[keep], minlength=len(n))
+
+
+def _sign(k: int, bands: int, whole: int, bottom: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        band = np.arange(bands, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
+            salt = mix(band + np.uint64(1))
         for pdf in batches:
             texts = _texts(pdf)
             for lo, hi in portions(texts):
-                sets, n = shingle_sets(texts[lo:hi], k)
-                m = minhash(sets, n, bands * 2).astype(np.uint64)
-                keys = mix((m[:, ::2] << np.uint64(32) | m[:, 1::2]) ^ salt).astype(np.int64)
-                yield pd.DataFrame({"id": pdf["id"].iloc[lo:hi], "h": pdf["h"].iloc[lo:hi], "size": n, "keys": list(keys)})
+                prints, n = fingerprints(texts[lo:hi], k)
+                m = minhash(*narrow(prints, n), bands * 2).astype(np.uint64)
+                keys = mix((m[:, ::2] << np.uint64(32) | m[:, 1::2]) ^ salt)
+                keys = (keys >> np.uint64(_BAND) << np.uint64(_BAND) | band).astype(np.int64)
+                yield pd.DataFrame({"id": pdf["id"].iloc[lo:hi], "h": pdf["h"].iloc[lo:hi], "size": n, "keys": list(keys), "sketch": _lists(*(x.astype(np.int64) for x in bottom_sketch(prints, n, whole, bottom)))})
 
     return run
 
@@ -89,7 +122,7 @@ def _sets(k: int):
         for pdf in batches:
             texts = _texts(pdf)
             for lo, hi in portions(texts):
-                sets, n = shingle_sets(texts[lo:hi], k)
+                sets, n = narrow(*fingerprints(texts[lo:hi], k))
                 ends = np.cumsum(n) * 4
                 flat = sets.astype("<u4").tobytes()
                 yield pd.DataFrame({"id": pdf["id"].iloc[lo:hi], "set": [flat[a:b] for a, b in zip((ends - n * 4).tolist(), ends.tolist())]})
@@ -97,15 +130,156 @@ def _sets(k: int):
     return run
 
 
-def _compare(containment: float):
-    """Streams rows sorted by tile, its sets first, then its pairs: holds the sets of one tile."""
+# ---- filters --------------------------------------------------------------------------------------------------------
+
+
+def _only(rows: DataFrame, key: str, wanted: DataFrame, n: int, most: int = 24) -> DataFrame:
+    """Rows that may have one of the n wanted keys, so that fewer are shuffled: by a broadcast bitmap of 16 places a key,
+    2**most places (2**(most - 6) rows) at the most. A join must still settle which do."""
+    bits = min(most, max(10, math.ceil(math.log2(16 * n + 1))))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    words = wanted.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_p % 64 as int)))").alias("_b"))
+    marked = rows.withColumn("_p", place).withColumn("_w", F.shiftright("_p", 6)).join(F.broadcast(words), "_w")
+    return marked.where("shiftright(_b, cast(_p % 64 as int)) & 1 = 1").drop("_p", "_w", "_b")
+
+
+def filter_words(keys: DataFrame, n: int, most: int = FILTER_BITS) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the n 48-bit ``key``: its bits, log2, and its words. Two places a key, 16 bits a key, bounded by
+    2**most bits; beyond that more passes, at no loss."""
+    bits = min(most, max(12, math.ceil(math.log2(16 * n + 1))))
+    places = F.explode(F.array(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftright("key", 48 - bits)))
+    got = keys.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[got["w"].to_numpy()] = got["b"].to_numpy()
+    return bits, words.view(np.uint64)
+
+
+def _hits(k: int, bits: int, words):
+    """(id, hits): of each text the shingles that pass the filter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, sets = None, {}
+        w = words.value
+
+        def there(p: np.ndarray) -> np.ndarray:
+            return w[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) == 1
+
         for pdf in batches:
-            a_out, b_out = [], []
+            texts = _texts(pdf)
+            for lo, hi in portions(texts):
+                prints, n = fingerprints(texts[lo:hi], k)
+                doc = np.repeat(np.arange(len(n)), n)
+                at = np.flatnonzero(there(prints & np.uint64((1 << bits) - 1)))
+                at = at[there(prints[at] >> np.uint64(48 - bits))]
+                yield pd.DataFrame({"id": pdf["id"].iloc[lo:hi], "hits": _lists(prints[at].astype(np.int64), np.bincount(doc[at], minlength=len(n)))})
+
+    return run
+
+
+# ---- sizes near each other ------------------------------------------------------------------------------------------
+
+
+def _meet(same: int, near: float, step: float, flush: int = 1 << 21):
+    """Rows (home, key, side, r, s) sorted by home, key, r give (home, a, b, votes): how many buckets of the home two share."""
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        home, key, side, s = (pdf[c].to_numpy() for c in ("home", "key", "side", "s"))
+        who, r = pd.factorize(pdf["r"].to_numpy(), sort=True)
+        p = np.floor(np.log(s) / math.log(step) + 1e-9)
+        few = (key & ((1 << _BAND) - 1)) < same
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (home[1:] != home[:-1])])
+        length = np.diff(np.r_[first, len(key)])
+        end = np.repeat(first + length, length)
+        code = pd.factorize(home)[0].astype(np.int64)
+        out, rows = [], np.arange(len(key))
+        for d in range(1, int(length.max())):
+            rows = rows[rows + d < end[rows]]
+            j = rows + d
+            ok = (side[rows] == -side[j]) & (np.maximum(s[rows], s[j]) <= near * np.minimum(s[rows], s[j])) & (few[rows] | (p[rows] != p[j]))
+            i, j = rows[ok], j[ok]
+            out.append((code[i] << 42) | (np.minimum(who[i], who[j]) << 21) | np.maximum(who[i], who[j]))
+        got, votes = np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        homes = pd.unique(home)
+        low = (1 << 21) - 1
+        return pd.DataFrame({"home": homes[got >> 42], "a": r[got >> 21 & low], "b": r[got & low], "votes": votes}).query("a != b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for pdf in batches:
+            while len(pdf):
+                last = pdf["home"].iloc[-1]
+                at = int(np.flatnonzero(np.r_[True, (pdf["home"] != last).to_numpy()])[-1])  # rows before the last home
+                if held and held[-1]["home"].iloc[-1] != pdf["home"].iloc[0] and rows >= 20_000:
+                    yield pairs(pd.concat(held))
+                    held, rows = [], 0
+                if rows + at >= 20_000 and at:
+                    yield pairs(pd.concat([*held, pdf.iloc[:at]]))
+                    held, rows, pdf = [], 0, pdf.iloc[at:]
+                    continue
+                held.append(pdf)
+                rows += len(pdf)
+                break
+        if held:
+            yield pairs(pd.concat(held))
+
+    return run
+
+
+def candidates(classes: DataFrame, same: int, near: float = NEAR, step: float = STEP, votes: int = VOTES, tile: int = TILE) -> DataFrame:
+    """(a, b, votes, tile), a < b: pairs of classes (rep, size, keys) whose sizes are within ``near`` and that share at
+    least ``votes`` buckets, how many they share, and a tile that holds both: the home in which they share most."""
+    rows = classes.where("size > 0").select(F.col("rep").alias("r"), F.col("size").cast("int").alias("s"), F.explode("keys").alias("key"))
+    # a hot key is counted before this shuffle and its join may be split
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("hub")).where("n > 1")
+    parts = F.when(F.col("n") <= tile, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / tile)))).cast("int")
+    met = rows.join(buckets, "key").withColumn("parts", parts).withColumn("chunk", F.pmod(F.hash("r"), F.col("parts")))
+    # a chunk meets itself (side 0) and every other
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    home = F.xxhash64("hub", "parts", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    met = met.select(home.alias("home"), "key", F.signum(F.col("other") - F.col("chunk")).cast("int").alias("side"), "r", "s")
+    found = met.repartition("home").sortWithinPartitions("home", "key", "r").mapInPandas(_meet(same, near, step), "home long, a long, b long, votes int")
+    best = found.groupBy("a", "b").agg(F.sum("votes").cast("int").alias("votes"), F.max(F.struct("votes", "home")).alias("best"))
+    return best.where(F.col("votes") >= votes).select("a", "b", "votes", F.col("best.home").alias("tile"))
+
+
+def _settle(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """The smallest id of each node's component."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def _compare(containment: float, pairs: bool):
+    """Streams rows sorted by tile, its sets first, then its pairs: holds the sets of one tile. Gives the pairs that hold,
+    or of each class in a tile its links there and the smallest class of its component there."""
+
+    def links(found: list[tuple[int, int]]) -> tuple[list[int], list[int], list[int]]:
+        root, n = _settle(found), {}
+        for a, b in found:
+            n[a] = n.get(a, 0) + 1
+            n[b] = n.get(b, 0) + 1
+        return list(n), list(n.values()), [root[x] for x in n]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sets, found = None, {}, []
+        for pdf in batches:
+            out: list[tuple] = []
             for tile, role, a, b, s in zip(pdf["tile"], pdf["role"], pdf["a"], pdf["b"], pdf["set"]):
                 if tile != now:
+                    if found and not pairs:
+                        out += zip(*links(found))
+                        found = []
                     now, sets = tile, {}
                 if role == 0:
                     sets[a] = np.frombuffer(s, "<u4")
@@ -113,71 +287,167 @@ def _compare(containment: float):
                 small, large = sorted((sets.get(a, _NONE), sets.get(b, _NONE)), key=len)
                 if not len(small):
                     continue
-                at = np.searchsorted(large, small)
+                at = large.searchsorted(small)
                 at[at == len(large)] = 0
                 if np.count_nonzero(large[at] == small) >= containment * len(small):
-                    a_out.append(a)
-                    b_out.append(b)
-            yield pd.DataFrame({"a": a_out, "b": b_out}).astype("int64")
+                    found.append((a, b))
+            if pairs:
+                out, found = found, []
+            yield pd.DataFrame(out, columns=["a", "b"] if pairs else ["rep", "links", "root"]).astype("int64")
+        if found:
+            yield pd.DataFrame(list(zip(*links(found))), columns=["rep", "links", "root"])
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, containment: float, group: int = 512) -> DataFrame:
-    """The pairs (a, b) that hold, from (id, set). A set is sent once to each tile of pairs that needs it; without a
-    column ``tile`` the pairs of each a are one, or parts of about ``group`` of them."""
+def verify(pairs: DataFrame, sets: DataFrame, containment: float, group: int = 512, counted: bool = False) -> DataFrame:
+    """Of pairs (a, b) those that hold, from (id, set); or, ``counted``, (rep, links, root) of each class and tile.
+
+    A set is sent once to each tile of pairs that needs it; without a column ``tile`` the pairs of each a are one, or
+    parts of about ``group`` of them."""
     if "tile" not in pairs.columns:
         heads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
         pairs = pairs.join(heads, "a").withColumn("tile", F.xxhash64("a", F.pmod(F.hash("b"), F.col("parts"))))
     members = pairs.select("tile", F.col("a").alias("id")).unionByName(pairs.select("tile", F.col("b").alias("id"))).distinct()
     held = members.join(sets.hint("merge"), "id").select("tile", F.lit(0).alias("role"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "set")
     asked = pairs.select("tile", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("binary").alias("set"))
-    return held.unionByName(asked).repartition("tile").sortWithinPartitions("tile", "role").mapInPandas(_compare(containment), "a long, b long")
+    kind = "rep long, links long, root long" if counted else "a long, b long"
+    return held.unionByName(asked).repartition("tile").sortWithinPartitions("tile", "role").mapInPandas(_compare(containment, not counted), kind)
+
+
+# ---- sizes far apart ------------------------------------------------------------------------------------------------
+
+
+def _inside(near: float, whole: int, block: int = 256):
+    """Streams rows sorted by tile: smaller texts (side 0) with their keys, rarest first, and larger ones (side 1) with
+    theirs. Gives (rep, links, containers, container) of exact links and (a, b) of pairs that must be verified."""
+
+    def tile(small: list[tuple], large: list[tuple], out: list[tuple]) -> None:
+        sa, pos, need = (np.array([x[i] for x in small]) for i in (1, 2, 3))
+        a_keys, a_n = np.concatenate([x[4] for x in small]), np.array([len(x[4]) for x in small])
+        every = np.unique(a_keys)
+        row, col = np.repeat(np.arange(len(small)), a_n), np.searchsorted(every, a_keys)
+        have, early = np.zeros((len(small), len(every)), np.float32), np.zeros((len(small), len(every)), np.float32)
+        have[row, col] = 1
+        early[row, col] = ragged(np.zeros(len(a_n), np.int64), a_n) < np.repeat(pos, a_n)
+        reps = [x[0] for x in small]
+        links, container = np.zeros(len(small), np.int64), np.full(len(small), np.iinfo(np.int64).max)
+        for lo in range(0, len(large), block):
+            part = large[lo : lo + block]
+            sb = np.array([x[1] for x in part])
+            b_keys, b_n = np.concatenate([x[4] for x in part]), np.array([len(x[4]) for x in part])
+            at = np.searchsorted(every, b_keys)
+            at[at == len(every)] = 0
+            hit = every[at] == b_keys
+            b = np.zeros((len(part), len(every)), np.float32)
+            b[np.repeat(np.arange(len(part)), b_n)[hit], at[hit]] = 1
+            ok = (have @ b.T >= need[:, None]) & (early @ b.T == 0) & (sb[None, :] > near * sa[:, None])
+            exact = ok & (sa <= whole)[:, None]
+            for j in np.flatnonzero(exact.any(0)).tolist():
+                out.append((part[j][0], int(exact[:, j].sum()), 0, None, None, None))
+            ids = np.array([x[0] for x in part])
+            links += exact.sum(1)
+            container = np.minimum(container, np.where(exact, ids[None, :], np.iinfo(np.int64).max).min(1))
+            for i, j in np.argwhere(ok & ~exact).tolist():
+                out.append((None, None, None, None, reps[i], part[j][0]))
+        for i in np.flatnonzero(links).tolist():
+            out.append((reps[i], int(links[i]), int(links[i]), int(container[i]), None, None))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, small, large = None, [], []
+        cols = ["rep", "links", "containers", "container", "a", "b"]
+        for pdf in batches:
+            out: list[tuple] = []
+            for t, side, r, s, pos, need, keys in zip(*(pdf[c] for c in ("tile", "side", "r", "s", "pos", "need", "keys"))):
+                if t != now:
+                    if small and large:
+                        tile(small, large, out)
+                    now, small, large = t, [], []
+                (large if side else small).append((r, s, pos, need, keys))
+            yield pd.DataFrame(out, columns=cols).astype("Int64")
+        out = []
+        if small and large:
+            tile(small, large, out)
+        yield pd.DataFrame(out, columns=cols).astype("Int64")
+
+    return run
 
 
-def candidates(classes: DataFrame, same: int, ratio: float, step: float, tile: int = TILE) -> DataFrame:
-    """(a, b, votes, tile), a < b: pairs of classes that share at least two buckets and may be linked, how many buckets
-    they share, and a tile that holds both: one of the largest, so that few tiles serve most pairs."""
-    part = F.floor(F.log(F.col("size").cast("double")) / math.log(step) + 1e-9).cast("int")
-    rows = classes.where("size > 0").select(F.col("rep").alias("r"), F.col("size").cast("int").alias("s"), part.alias("p"), F.posexplode("keys").alias("band", "key"))
-    # a hot key is counted before this shuffle and its join may be split
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(buckets, "key").withColumn("parts", F.ceil(F.col("n") / tile).cast("int")).withColumn("chunk", F.pmod(F.hash("r"), F.col("parts")))
-    # a chunk meets itself (side 0) and every other; the tile's number has the bucket's size ahead of a hash
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low = F.xxhash64("key", "band", F.least("chunk", "other"), F.greatest("chunk", "other")).bitwiseAND(F.lit((1 << 41) - 1))
-    number = F.shiftleft(F.least("n", F.lit((1 << 21) - 1)), 41).bitwiseOR(low)
-    tiles = stage(met.select(number.alias("tile"), F.signum(F.col("other") - F.col("chunk")).cast("int").alias("side"), "r", "s", "p", "band"), "tiles")
-    x, y = tiles, tiles.select("tile", *(F.col(c).alias(f"{c}2") for c in ("side", "r", "s", "p")))
-    fits = (F.least("s", "s2") >= ratio * F.greatest("s", "s2")) & ((F.col("band") < same) | (F.col("p") != F.col("p2")))
-    pairs = x.join(y.hint("merge"), "tile").where((F.col("side") == -F.col("side2")) & (F.col("r") < F.col("r2")) & fits)
-    return pairs.groupBy(F.col("r").alias("a"), F.col("r2").alias("b")).agg(F.count(F.lit(1)).alias("votes"), F.max("tile").alias("tile")).where("votes > 1")
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, containment: float = CONTAINMENT, ratio: float = RATIO, step: float = STEP, miss: float = MISS) -> DataFrame:
-    """doc_id, class_id, n_copies, n_links, component_id, kept of each row."""
-    same = bands_for(jaccard_at(containment, min(step, 1 / ratio)), miss)
-    across = max(same, bands_for(jaccard_at(containment, 1 / ratio), miss))
+def contained(d: DataFrame, classes: DataFrame, k: int, containment: float, near: float, whole: int, bottom: int, need: int, smaller: int = SMALLER, larger: int = LARGER, most: int = FILTER_BITS) -> DataFrame:
+    """(rep, links, containers, container, a, b) of pairs whose sizes differ by more than the factor ``near``."""
+    spark = d.sparkSession
+    own = classes.where("size > 0").select(F.col("rep").alias("r"), F.col("size").cast("int").alias("s"), "sketch")
+    keys = own.select("r", "s", F.explode("sketch").alias("key"))
+    n = own.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    bits, words = filter_words(keys, n, most)
+    held = spark.sparkContext.broadcast(words)
+    hits = d.select("id", "t").mapInPandas(_hits(k, bits, held), "id long, hits array<long>")
+    hits = stage(hits.join(own.select(F.col("r").alias("id"), "s").hint("merge"), "id"), "hits")
+    df = hits.select(F.explode("hits").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # of each text its shared keys, rarest first; those that no other text has come before all of them
+    shared = keys.join(df, "key").groupBy("r", "s").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("ks"))
+    least = F.when(F.col("s") <= whole, F.ceil(F.col("s") * containment - 1e-9)).otherwise(need).cast("int")
+    first = shared.withColumn("need", least).withColumn("take", F.size("ks") - F.col("need") + 1).where("take > 0")
+    a = stage(first.select("r", "s", "need", F.posexplode(F.slice("ks", F.lit(1), F.col("take"))).alias("pos", "x"), F.transform("ks", lambda x: x["key"]).alias("keys")).select("r", "s", "need", "pos", F.col("x.key").alias("key"), F.col("x.n").alias("n"), "keys"), "inner")
+    wanted = stage(a.groupBy("key").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("na"), F.min("s").alias("least")), "keys")
+    na, nb = F.ceil(F.col("na") / smaller).cast("int"), F.ceil(F.col("n") / larger).cast("int")
+    plan = wanted.select("key", "least", na.alias("na"), nb.alias("nb"))
+    cell = lambda x, y: F.xxhash64("key", x, y)
+    none = F.lit(0).alias
+    left = a.drop("n").join(plan, "key").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    left = left.select(cell(F.pmod(F.hash("r"), F.col("na")), F.col("j")).alias("tile"), none("side"), "r", "s", "pos", "need", "keys")
+    b = hits.select(F.col("id").alias("r"), "s", F.explode("hits").alias("key"), F.col("hits").alias("keys"))
+    b = _only(b, "key", wanted.select("key"), wanted.count()).join(plan, "key").where(F.col("s") > F.lit(near) * F.col("least"))
+    b = b.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
+    right = b.select(cell(F.col("j"), F.pmod(F.hash("r"), F.col("nb"))).alias("tile"), F.lit(1).alias("side"), "r", "s", none("pos"), none("need"), "keys")
+    rows = left.unionByName(right).repartition("tile").sortWithinPartitions("tile", "side")
+    return stage(rows.mapInPandas(_inside(near, whole), "rep long, links long, containers long, container long, a long, b long"), "inside")
+
+
+# ---- all of it ------------------------------------------------------------------------------------------------------
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, containment: float = CONTAINMENT, near: float = NEAR, step: float = STEP, votes: int = VOTES, miss: float = MISS, whole: int = WHOLE, bottom: int = BOTTOM, need: int = NEED, tile: int = TILE
+) -> DataFrame:
+    """doc_id, class_id, n_copies, n_links, n_containers, container_id, component_id, kept of each row."""
+    same = bands_for(jaccard_at(containment, min(step, near)), miss, votes)
+    across = max(same, bands_for(jaccard_at(containment, near), miss, votes))
     d = small_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     alone = F.col("id").isNull() | F.col("t").isNull() | (F.col("t") == "")
     # a text that is null or empty has no equals: its class is its own id
-    h = F.when(alone, F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("null")))).otherwise(F.md5(F.col("t").cast("binary")))
-    signed = stage(d.select("id", h.alias("h"), F.when(F.col("id").isNotNull(), F.col("t")).alias("t")).mapInPandas(_sign(k, across), "id long, h string, size long, keys array<long>"), "signatures")
-    classes = signed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("id", "size", "keys")).alias("one"))
-    reps = classes.where(F.col("rep").isNotNull()).select("rep", "one.size", "one.keys")
-    pairs = stage(candidates(reps, same, ratio, step), "candidates")
-    wanted = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    sets = stage(_only(d, "id", wanted).join(wanted.hint("merge"), "id").mapInPandas(_sets(k), "id long, set binary"), "sets")
-    links = stage(verify(pairs, sets, containment), "links")
-    comps = connected_components(links, "a", "b")
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    h = F.when(alone, F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary")).otherwise(F.unhex(F.md5(F.col("t").cast("binary"))))
+    signed = d.select("id", h.alias("h"), F.when(F.col("id").isNotNull(), F.col("t")).alias("t")).mapInPandas(_sign(k, across, whole, bottom), "id long, h binary, size long, keys array<long>, sketch array<long>")
+    grouped = signed.groupBy("h").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("id", "size", "keys", "sketch")).alias("one"))
+    classes = stage(grouped.select("h", "n_copies", F.col("one.id").alias("rep"), "one.size", "one.keys", "one.sketch"), "classes")
+    reps = classes.where(F.col("rep").isNotNull())
+
+    pairs = stage(candidates(reps, same, near, step, votes, tile), "candidates")
+    far = contained(d, reps, k, containment, near, whole, bottom, need)
+    unsure = far.where("a is not null").select("a", "b").distinct()
+    ends = pairs.select("a", "b").unionByName(unsure).select(F.explode(F.array("a", "b")).alias("id"))
+    wanted = stage(ends.distinct(), "wanted")
+    sets = stage(_only(d, "id", wanted, wanted.count()).join(wanted.hint("merge"), "id").mapInPandas(_sets(k), "id long, set binary"), "sets")
+    links = stage(verify(pairs, sets, containment, counted=True), "links")
+    comps = connected_components(links.where("rep <> root"), "rep", "root")
+    held = verify(unsure, sets, containment)
+    null = F.lit(None).cast("long")
+    zero = F.lit(0).cast("long")
+    each = links.select("rep", "links", zero.alias("containers"), null.alias("container"))
+    each = each.unionByName(far.where("rep is not null").select("rep", "links", "containers", "container"))
+    one = F.lit(1).cast("long")
+    both = F.explode(F.array(F.struct(F.col("a").alias("rep"), one.alias("links"), one.alias("containers"), F.col("b").alias("container")), F.struct(F.col("b").alias("rep"), one.alias("links"), zero.alias("containers"), null.alias("container"))))
+    each = each.unionByName(held.select(both.alias("x")).select("x.*"))
+    degree = each.groupBy("rep").agg(F.sum("links").alias("n_links"), F.sum("containers").alias("n_containers"), F.min("container").alias("container_id"))
     about = classes.select("h", "rep", "n_copies").join(degree, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    out = signed.select("id", "h").join(about, "h")
+    out = d.select("id", h.alias("h")).join(about, "h")
     return out.select(
         F.col("id").alias(key),
         F.col("rep").alias("class_id"),
         "n_copies",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_links", zero).alias("n_links"),
+        F.coalesce("n_containers", zero).alias("n_containers"),
+        "container_id",
         F.coalesce("component", "rep").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "rep"), F.lit(True)).alias("kept"),
     )

@@ -1,4 +1,4 @@
-"""Word shingles of whole texts as sorted 32-bit fingerprints, many texts at once in numpy."""
+"""Word shingles of whole texts as sorted fingerprints of 48 or 32 bits, many texts at once in numpy."""
 
 from __future__ import annotations
 
@@ -28,10 +28,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_sets(texts: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' distinct shingles (uint32, ascending within a text) and each text's number of them.
+def fingerprints(texts: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' distinct shingles (48 bits in uint64, ascending within a text) and each text's number of them.
 
-    Words are runs of letters and digits, in lower case; bytes beyond ASCII count as letters. A text of fewer than k
+    At most 65,535 texts at once. Words are runs of letters and digits, in lower case; bytes beyond ASCII count as letters. A text of fewer than k
     words has one shingle of them all; one without a word has none.
     """
     raw = [t.lower().encode() for t in texts]
@@ -46,7 +46,7 @@ def shingle_sets(texts: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray]:
     owner_at = np.searchsorted(start, np.cumsum(size + 1) - (size + 1))
     words = np.diff(np.r_[owner_at, len(start)])
     if not len(start):
-        return np.zeros(0, np.uint32), np.zeros(len(raw), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
     up, down = powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[buf] * up[:n], out=total[1:])
@@ -66,9 +66,21 @@ def shingle_sets(texts: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray]:
             v = np.uint64((int(v) * 0x9FB21C651E98DF25 + int(x)) & (2**64 - 1))
         s[a] = mix(np.array([v]))[0]
         keep[a] = True
-    key = np.sort((doc[keep].astype(np.uint64) << np.uint64(32)) | (s[keep] >> np.uint64(32)))
+    key = np.sort((doc[keep].astype(np.uint64) << np.uint64(48)) | (s[keep] >> np.uint64(16)))
     key = key[np.r_[True, key[1:] != key[:-1]]]
-    return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(raw))
+    return key & np.uint64((1 << 48) - 1), np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=len(raw))
+
+
+def narrow(prints: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as 32-bit fingerprints, distinct within a text."""
+    doc, s = np.repeat(np.arange(len(n)), n), (prints >> np.uint64(16)).astype(np.uint32)
+    new = np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])][: len(s)]
+    return s[new], np.bincount(doc[new], minlength=len(n))
+
+
+def shingle_sets(texts: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`fingerprints` of 32 bits."""
+    return narrow(*fingerprints(texts, k))
 
 
 def minhash(sets: np.ndarray, n: np.ndarray, perms: int, seed: int = 5) -> np.ndarray:

@@ -123,28 +123,109 @@ def test_verify_matches_sets_and_bands(spark):
     sets = {i: np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype("<u4") for i in range(30)}
     pairs = [(a, b) for a in range(30) for b in range(a + 1, 30)]
     df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "id long, set binary")
-    got = {(r.a, r.b) for r in near_dedup.verify(spark.createDataFrame(pairs, "a long, b long"), df, 0.6, group=7).collect()}
-    assert got == {(a, b) for a, b in pairs if len(np.intersect1d(sets[a], sets[b])) >= 0.6 * min(len(sets[a]), len(sets[b]))}
-    n, p = near_dedup.bands_for(0.35, 1e-3), 0.35**2
-    assert (1 - p) ** n + n * p * (1 - p) ** (n - 1) <= 1e-3 < (1 - p) ** (n - 1) + (n - 1) * p * (1 - p) ** (n - 2)
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    got = {(r.a, r.b) for r in near_dedup.verify(asked, df, 0.6, group=7).collect()}
+    want = {(a, b) for a, b in pairs if len(np.intersect1d(sets[a], sets[b])) >= 0.6 * min(len(sets[a]), len(sets[b]))}
+    assert got == want
+    links = {}
+    for r in near_dedup.verify(asked, df, 0.6, group=7, counted=True).collect():
+        links[r.rep] = links.get(r.rep, 0) + r.links
+        assert r.root <= r.rep
+    assert links == {i: n for i in sets if (n := sum(i in p for p in want))}
+    n = near_dedup.bands_for(0.35, 1e-3, 3)
+    assert near_dedup.missed(0.35**2, n, 3) <= 1e-3 < near_dedup.missed(0.35**2, n - 1, 3)
+    p = 0.35**2
+    assert abs(near_dedup.missed(p, 50, 2) - ((1 - p) ** 50 + 50 * p * (1 - p) ** 49)) < 1e-12
 
 
 def test_all_of_a_bucket_meet(spark):
-    rows = [(i, 100 + i, [7, 8, 1000 + i]) for i in range(40)] + [(100, 300, [7, 8, 1]), (101, 110, [7, 2, 3])]
+    """Whatever the size of the tiles, all pairs of a bucket are counted in it."""
+    key = lambda band, x: x << 7 | band
+    rows = [(i, 100 + i % 20, [key(0, 7), key(1, 8), key(2, 9), key(3, 1000 + i)]) for i in range(70)] + [(100, 300, [key(0, 7), key(1, 8), key(2, 9)]), (101, 110, [key(0, 7), key(1, 2), key(2, 3)])]
     d = spark.createDataFrame(rows, "rep long, size long, keys array<long>")
-    for kw in ({}, {"tile": 8}):
-        got = {(r.a, r.b): r.votes for r in near_dedup.candidates(d, 3, 0.6, 1.3, **kw).collect()}
-        assert got == {(a, b): 2 for a in range(40) for b in range(a + 1, 40)}
-
-
-def test_all_links_count(spark):
-    rng = random.Random(4)
-    base = [f"w{i}" for i in range(200)]
-    texts = {i: " ".join(rng.choice("xyz") if rng.random() < 0.03 else w for w in base) for i in range(12)}
-    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    sets = {i: set(zip(w := t.split(), w[1:], w[2:])) for i, t in texts.items()}
-    want = {i: sum(len(sets[i] & sets[j]) >= 0.6 * min(len(sets[i]), len(sets[j])) for j in sets if j != i) for i in sets}
-    assert {r.doc_id: r.n_links for r in got} == want and min(want.values()) > 5
+    for kw in ({}, {"tile": 8}, {"tile": 3}):
+        got = {(r.a, r.b): r.votes for r in near_dedup.candidates(d, 4, 1.3, 1.14, 3, **kw).collect()}
+        assert got == {(a, b): 3 for a in range(70) for b in range(a + 1, 70)}
+
+
+def test_bottom_sketch():
+    rng = np.random.default_rng(8)
+    n = np.array([5, 0, 64, 65, 1000, 30_000])
+    prints = np.concatenate([np.sort(rng.choice(1 << 48, m, replace=False)).astype(np.uint64) for m in n])
+    flat, m = near_dedup.bottom_sketch(prints, n, 64, 16)
+    assert m.tolist() == [5, 0, 64, 16, 16, 16]
+    at, h = np.cumsum(n), near_dedup.mix(prints + np.uint64(0x5851F42D4C957F2D))
+    for i in (3, 4, 5):
+        own = slice(at[i] - n[i], at[i])
+        low = prints[own][np.argsort(h[own])[:16]]
+        assert set(flat[np.cumsum(m)[i] - 16 : np.cumsum(m)[i]]) == set(low)
+
+
+def links_by_force(texts: dict, k: int = 3, c: float = 0.6) -> tuple[dict, list]:
+    """Sets and linked pairs (a, b, sizes' ratio) of different texts, by word shingles."""
+    words = {i: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower()) for i, t in texts.items()}
+    sets = {i: set(zip(*[w[j:] for j in range(k)])) if len(w) >= k else ({tuple(w)} if w else set()) for i, w in words.items()}
+    found, ids = [], sorted(texts)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            small, large = sorted((sets[a], sets[b]), key=len)
+            if texts[a] != texts[b] and small and len(small & large) >= c * len(small):
+                found.append((a, b, len(large) / len(small)))
+    return sets, found
+
+
+def test_all_links_at_all_sizes(spark):
+    """Production parameters against brute force: near-copies, texts inside larger ones of every ratio, shared passages, and a line that a third of all texts hold."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    words = lambda n: [word() for _ in range(n)]
+    passage, line, texts = words(60), words(14), {}
+    add = lambda w: " ".join(w) in texts.values() or texts.__setitem__(len(texts), " ".join(w))
+    noisy = lambda w, p: [word() if rng.random() < p else x for x in w]
+    for g in range(40):
+        base = words(rng.choice([8, 20, 70, 200, 400]))
+        for _ in range(rng.randint(1, 6)):
+            add(noisy(base, rng.choice([0.02, 0.06, 0.1])))
+        inner = base[: rng.randint(5, len(base))]
+        for factor in (1.5, 2, 4, 10, 40):
+            if rng.random() < 0.5:
+                extra = words(int(len(inner) * factor))
+                cut = rng.randint(0, len(extra))
+                add(extra[:cut] + noisy(inner, rng.choice([0, 0.03, 0.08])) + extra[cut:])
+    for _ in range(40):
+        add(words(200) + passage)
+    for _ in range(60):
+        add(words(rng.choice([2, 5, 100, 300])) + line)
+    add(["one"]); add(["one", "two"]); add(["one", "two", "three"]); add(["one", "two", "three", "four"])  # noqa: E702
+    sets, found = links_by_force(texts)
+    copies = {len(texts) + i: texts[i] for i in (0, 3, 50)}
+    rows = [*texts.items(), *copies.items(), (None, texts[0])]
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want, inside = {i: 0 for i in texts}, {i: [] for i in texts}
+    for a, b, ratio in found:
+        want[a] += 1
+        want[b] += 1
+        if ratio > 1.3:
+            small, large = sorted((a, b), key=lambda i: len(sets[i]))
+            inside[small].append(large)
+    bins = {}
+    for i in texts:  # by the ratio that most of a text's links have
+        ratios = [min(6, int(np.log2(r))) for a, b, r in found if i in (a, b)]
+        if ratios:
+            n = bins.setdefault(max(set(ratios), key=ratios.count), [0, 0])
+            n[0] += want[i]
+            n[1] += got[i].n_links
+    assert all(g >= 0.9 * w for w, g in bins.values()) and len(bins) >= 5, bins
+    assert sum(r.n_links for i, r in got.items() if i in texts) >= 0.99 * sum(want.values()) and all(got[i].n_links <= want[i] for i in texts)
+    exact = [i for i in texts if len(sets[i]) <= near_dedup.WHOLE]
+    assert len(exact) > 50 and all(got[i].n_containers == len(inside[i]) and got[i].container_id == min(inside[i], default=None) for i in exact)
+    comp = {i: i for i in texts}
+    for _ in range(9):
+        for a, b, ratio in found:
+            if ratio <= 1.3:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    assert sum(got[i].component_id != comp[i] for i in texts) <= 1
+    assert all(got[i].class_id == got[i - len(texts) if i >= len(texts) else i].class_id and got[i].n_copies == 2 for i in copies) and got[None].kept and got[None].n_links == 0
 
 
 # ---- near-duplicates of vectors ----
