@@ -50,11 +50,12 @@ from bitweave.operators.components import connected_components
 from bitweave.session import stage
 
 K, CONTAINMENT, NEAR, STEP, VOTES, MISS, TILE = 3, 0.6, 1.3, 1.14, 3, 1e-2, 256
-#: A text of at most WHOLE shingles is hashed whole; of others BOTTOM hashes, NEED of which a contained text shares (0.995).
-WHOLE, BOTTOM, NEED = 64, 16, 5
+#: A text of at most WHOLE shingles is hashed whole; of others BOTTOM hashes, NEED of which a contained text shares (0.98).
+WHOLE, BOTTOM, NEED = 64, 16, 6
 #: Smaller and larger texts of a tile; the most bits of the filter that larger texts' shingles pass.
 SMALLER, LARGER, FILTER_BITS = 2048, 1024, 30
 _BAND = 7  # low bits of a key that hold its band
+_LOW = (1 << 31) - 1
 _NONE = np.zeros(0, "<u4")
 
 
@@ -143,38 +144,60 @@ def _only(rows: DataFrame, key: str, wanted: DataFrame, n: int, most: int = 24)
     return marked.where("shiftright(_b, cast(_p % 64 as int)) & 1 = 1").drop("_p", "_w", "_b")
 
 
-def filter_words(keys: DataFrame, n: int, most: int = FILTER_BITS) -> tuple[int, np.ndarray]:
-    """A Bloom filter of the n 48-bit ``key``: its bits, log2, and its words. Two places a key, 16 bits a key, bounded by
+def filter_words(keys: DataFrame, n: int, most: int = FILTER_BITS, width: int = 48) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the n ``key`` of ``width`` bits: its bits, log2, and its words. Two places a key, 16 bits a key, bounded by
     2**most bits; beyond that more passes, at no loss."""
     bits = min(most, max(12, math.ceil(math.log2(16 * n + 1))))
-    places = F.explode(F.array(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftright("key", 48 - bits)))
+    places = F.explode(F.array(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftright("key", width - bits)))
     got = keys.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
     words = np.zeros(1 << (bits - 6), np.int64)
     words[got["w"].to_numpy()] = got["b"].to_numpy()
     return bits, words.view(np.uint64)
 
 
+def _passing(keys: np.ndarray, bits: int, words: np.ndarray, width: int = 48) -> np.ndarray:
+    """Where keys pass the filter."""
+
+    def there(p: np.ndarray) -> np.ndarray:
+        return words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) == 1
+
+    at = np.flatnonzero(there(keys & np.uint64((1 << bits) - 1)))
+    return at[there(keys[at] >> np.uint64(width - bits))]
+
+
 def _hits(k: int, bits: int, words):
     """(id, hits): of each text the shingles that pass the filter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = words.value
-
-        def there(p: np.ndarray) -> np.ndarray:
-            return w[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) == 1
-
         for pdf in batches:
             texts = _texts(pdf)
             for lo, hi in portions(texts):
                 prints, n = fingerprints(texts[lo:hi], k)
                 doc = np.repeat(np.arange(len(n)), n)
-                at = np.flatnonzero(there(prints & np.uint64((1 << bits) - 1)))
-                at = at[there(prints[at] >> np.uint64(48 - bits))]
+                at = _passing(prints, bits, words.value)
                 yield pd.DataFrame({"id": pdf["id"].iloc[lo:hi], "hits": _lists(prints[at].astype(np.int64), np.bincount(doc[at], minlength=len(n)))})
 
     return run
 
 
+def _narrowed(inner: tuple, heads: tuple):
+    """(id, s, keys, first): of each text's hits those that pass either filter; keys by their low 31 bits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = pdf["hits"].map(len).to_numpy()
+            flat = np.concatenate(pdf["hits"].to_numpy()).astype(np.uint64) if len(pdf) else np.zeros(0, np.uint64)
+            doc, out = np.repeat(np.arange(len(n)), n), []
+            low = flat & np.uint64(_LOW)
+            for keys, (bits, words), width, kept in ((low, inner, 31, np.int32), (flat, heads, 48, np.int64)):
+                at = _passing(keys, bits, words.value, width)
+                out.append(_lists(keys[at].astype(kept), np.bincount(doc[at], minlength=len(n))))
+            got = pd.DataFrame({"id": pdf["id"], "s": pdf["s"], "keys": out[0], "first": out[1]})
+            yield got[got["first"].map(len) > 0]
+
+    return run
+
+
 # ---- sizes near each other ------------------------------------------------------------------------------------------
 
 
@@ -320,61 +343,67 @@ def verify(pairs: DataFrame, sets: DataFrame, containment: float, group: int = 5
 
 def _inside(near: float, whole: int, block: int = 256):
     """Streams rows sorted by tile: smaller texts (side 0) with their keys, rarest first, and larger ones (side 1) with
-    theirs. Gives (rep, links, containers, container) of exact links and (a, b) of pairs that must be verified."""
-
-    def tile(small: list[tuple], large: list[tuple], out: list[tuple]) -> None:
-        sa, pos, need = (np.array([x[i] for x in small]) for i in (1, 2, 3))
-        a_keys, a_n = np.concatenate([x[4] for x in small]), np.array([len(x[4]) for x in small])
-        every = np.unique(a_keys)
-        row, col = np.repeat(np.arange(len(small)), a_n), np.searchsorted(every, a_keys)
-        have, early = np.zeros((len(small), len(every)), np.float32), np.zeros((len(small), len(every)), np.float32)
-        have[row, col] = 1
-        early[row, col] = ragged(np.zeros(len(a_n), np.int64), a_n) < np.repeat(pos, a_n)
-        reps = [x[0] for x in small]
-        links, container = np.zeros(len(small), np.int64), np.full(len(small), np.iinfo(np.int64).max)
-        for lo in range(0, len(large), block):
-            part = large[lo : lo + block]
-            sb = np.array([x[1] for x in part])
-            b_keys, b_n = np.concatenate([x[4] for x in part]), np.array([len(x[4]) for x in part])
-            at = np.searchsorted(every, b_keys)
-            at[at == len(every)] = 0
-            hit = every[at] == b_keys
-            b = np.zeros((len(part), len(every)), np.float32)
-            b[np.repeat(np.arange(len(part)), b_n)[hit], at[hit]] = 1
-            ok = (have @ b.T >= need[:, None]) & (early @ b.T == 0) & (sb[None, :] > near * sa[:, None])
-            exact = ok & (sa <= whole)[:, None]
-            for j in np.flatnonzero(exact.any(0)).tolist():
-                out.append((part[j][0], int(exact[:, j].sum()), 0, None, None, None))
-            ids = np.array([x[0] for x in part])
-            links += exact.sum(1)
-            container = np.minimum(container, np.where(exact, ids[None, :], np.iinfo(np.int64).max).min(1))
-            for i, j in np.argwhere(ok & ~exact).tolist():
-                out.append((None, None, None, None, reps[i], part[j][0]))
-        for i in np.flatnonzero(links).tolist():
-            out.append((reps[i], int(links[i]), int(links[i]), int(container[i]), None, None))
+    theirs. Gives (rep, links, containers, container) of exact links and (a, b, tile) of pairs that must be verified."""
+
+    def matrix(rows: list[tuple], every: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Which of the keys ``every`` each row has (of its first ``before`` ones)."""
+        keys, n = np.concatenate([x[4] for x in rows]), np.array([len(x[4]) for x in rows])
+        at = np.searchsorted(every, keys)
+        at[at == len(every)] = 0
+        hit = every[at] == keys
+        if before is not None:
+            hit &= ragged(np.zeros(len(n), np.int64), n) < np.repeat(before, n)
+        out = np.zeros((len(rows), len(every)), np.float32)
+        out[np.repeat(np.arange(len(rows)), n)[hit], at[hit]] = 1
+        return out
+
+    def tile(name: int, small: list[tuple], large: list[tuple], out: list[tuple]) -> None:
+        keys = np.unique(np.concatenate([x[4] for x in small]))
+        keys = np.intersect1d(keys, np.concatenate([x[4] for x in large]))  # what no larger text has counts for none
+        links = np.zeros(len(large), np.int64)
+        sb, ids = np.array([x[1] for x in large]), np.array([x[0] for x in large])
+        for i in range(0, len(small), block):
+            a = small[i : i + block]
+            sa, pos, need = (np.array([x[c] for x in a]) for c in (1, 2, 3))
+            have, early = matrix(a, keys), matrix(a, keys, pos)
+            own, container = np.zeros(len(a), np.int64), np.full(len(a), np.iinfo(np.int64).max)
+            for j in range(0, len(large), block):
+                to = slice(j, j + block)
+                b = matrix(large[to], keys).T
+                ok = (have @ b >= need[:, None]) & (early @ b == 0) & (sb[None, to] > near * sa[:, None])
+                exact = ok & (sa <= whole)[:, None]
+                links[to] += exact.sum(0)
+                own += exact.sum(1)
+                container = np.minimum(container, np.where(exact, ids[None, to], np.iinfo(np.int64).max).min(1))
+                for x, y in np.argwhere(ok & ~exact).tolist():
+                    out.append((None, None, None, None, a[x][0], int(ids[j + y]), name))
+            for x in np.flatnonzero(own).tolist():
+                out.append((a[x][0], int(own[x]), int(own[x]), int(container[x]), None, None, None))
+        for y in np.flatnonzero(links).tolist():
+            out.append((int(ids[y]), int(links[y]), 0, None, None, None, None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, small, large = None, [], []
-        cols = ["rep", "links", "containers", "container", "a", "b"]
+        cols = ["rep", "links", "containers", "container", "a", "b", "tile"]
         for pdf in batches:
             out: list[tuple] = []
             for t, side, r, s, pos, need, keys in zip(*(pdf[c] for c in ("tile", "side", "r", "s", "pos", "need", "keys"))):
                 if t != now:
                     if small and large:
-                        tile(small, large, out)
+                        tile(now, small, large, out)
                     now, small, large = t, [], []
                 (large if side else small).append((r, s, pos, need, keys))
             yield pd.DataFrame(out, columns=cols).astype("Int64")
         out = []
         if small and large:
-            tile(small, large, out)
+            tile(now, small, large, out)
         yield pd.DataFrame(out, columns=cols).astype("Int64")
 
     return run
 
 
 def contained(d: DataFrame, classes: DataFrame, k: int, containment: float, near: float, whole: int, bottom: int, need: int, smaller: int = SMALLER, larger: int = LARGER, most: int = FILTER_BITS) -> DataFrame:
-    """(rep, links, containers, container, a, b) of pairs whose sizes differ by more than the factor ``near``."""
+    """(rep, links, containers, container), or (a, b, tile) still to be verified, of pairs whose sizes differ by more than the factor ``near``."""
     spark = d.sparkSession
     own = classes.where("size > 0").select(F.col("rep").alias("r"), F.col("size").cast("int").alias("s"), "sketch")
     keys = own.select("r", "s", F.explode("sketch").alias("key"))
@@ -388,7 +417,7 @@ def contained(d: DataFrame, classes: DataFrame, k: int, containment: float, near
     shared = keys.join(df, "key").groupBy("r", "s").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("ks"))
     least = F.when(F.col("s") <= whole, F.ceil(F.col("s") * containment - 1e-9)).otherwise(need).cast("int")
     first = shared.withColumn("need", least).withColumn("take", F.size("ks") - F.col("need") + 1).where("take > 0")
-    a = stage(first.select("r", "s", "need", F.posexplode(F.slice("ks", F.lit(1), F.col("take"))).alias("pos", "x"), F.transform("ks", lambda x: x["key"]).alias("keys")).select("r", "s", "need", "pos", F.col("x.key").alias("key"), F.col("x.n").alias("n"), "keys"), "inner")
+    a = stage(first.select("r", "s", "need", F.posexplode(F.slice("ks", F.lit(1), F.col("take"))).alias("pos", "x"), F.transform("ks", lambda x: x["key"].bitwiseAND(F.lit(_LOW)).cast("int")).alias("keys")).select("r", "s", "need", "pos", F.col("x.key").alias("key"), F.col("x.n").alias("n"), "keys"), "inner")
     wanted = stage(a.groupBy("key").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("na"), F.min("s").alias("least")), "keys")
     na, nb = F.ceil(F.col("na") / smaller).cast("int"), F.ceil(F.col("n") / larger).cast("int")
     plan = wanted.select("key", "least", na.alias("na"), nb.alias("nb"))
@@ -396,12 +425,18 @@ def contained(d: DataFrame, classes: DataFrame, k: int, containment: float, near
     none = F.lit(0).alias
     left = a.drop("n").join(plan, "key").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     left = left.select(cell(F.pmod(F.hash("r"), F.col("na")), F.col("j")).alias("tile"), none("side"), "r", "s", "pos", "need", "keys")
-    b = hits.select(F.col("id").alias("r"), "s", F.explode("hits").alias("key"), F.col("hits").alias("keys"))
-    b = _only(b, "key", wanted.select("key"), wanted.count()).join(plan, "key").where(F.col("s") > F.lit(near) * F.col("least"))
+    # larger texts go along with the keys that smaller ones have, no others
+    inner = a.select(F.explode(F.col("keys").cast("array<long>")).alias("key")).distinct()
+    filters = []
+    for ks, width in ((inner, 31), (wanted.select("key"), 48)):
+        bits, words = filter_words(ks, ks.count(), min(most, width), width)
+        filters.append((bits, spark.sparkContext.broadcast(words)))
+    b = hits.mapInPandas(_narrowed(*filters), "id long, s int, keys array<int>, first array<long>")
+    b = b.select(F.col("id").alias("r"), "s", F.explode("first").alias("key"), "keys").join(plan, "key").where(F.col("s") > F.lit(near) * F.col("least"))
     b = b.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
     right = b.select(cell(F.col("j"), F.pmod(F.hash("r"), F.col("nb"))).alias("tile"), F.lit(1).alias("side"), "r", "s", none("pos"), none("need"), "keys")
     rows = left.unionByName(right).repartition("tile").sortWithinPartitions("tile", "side")
-    return stage(rows.mapInPandas(_inside(near, whole), "rep long, links long, containers long, container long, a long, b long"), "inside")
+    return stage(rows.mapInPandas(_inside(near, whole), "rep long, links long, containers long, container long, a long, b long, tile long"), "inside")
 
 
 # ---- all of it ------------------------------------------------------------------------------------------------------
@@ -424,8 +459,8 @@ def near_duplicates(
 
     pairs = stage(candidates(reps, same, near, step, votes, tile), "candidates")
     far = contained(d, reps, k, containment, near, whole, bottom, need)
-    unsure = far.where("a is not null").select("a", "b").distinct()
-    ends = pairs.select("a", "b").unionByName(unsure).select(F.explode(F.array("a", "b")).alias("id"))
+    unsure = far.where("a is not null").select("a", "b", "tile")
+    ends = pairs.select("a", "b").unionByName(unsure.select("a", "b")).select(F.explode(F.array("a", "b")).alias("id"))
     wanted = stage(ends.distinct(), "wanted")
     sets = stage(_only(d, "id", wanted, wanted.count()).join(wanted.hint("merge"), "id").mapInPandas(_sets(k), "id long, set binary"), "sets")
     links = stage(verify(pairs, sets, containment, counted=True), "links")
