@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,13 +32,15 @@ def build_session(app: str = "bitweave", cpus: int | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); only where that is unset, as in tests, a local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's checkpoint directory.
+
+    Only where neither is set and all runs in this process, as in tests, a temporary one; on a cluster that is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = getattr(spark, "_bitweave_shared", None)
-        if not at:
-            at = "file://" + tempfile.mkdtemp(prefix="bitweave-")
-            spark._bitweave_shared = at
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="bitweave-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -54,18 +57,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_staged: list[str] = []
+_scopes = threading.local()
+
+
+class Staging:
+    """What :func:`stage` writes while it is entered, in this thread; innermost first. Nothing else is ever deleted.
+
+        with Staging(spark) as own:
+            result = stage(f(...))
+        own.sweep(result)
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Staging:
+        _scopes.open = [*getattr(_scopes, "open", []), self]
+        return self
 
+    def __exit__(self, *_) -> None:
+        _scopes.open = _scopes.open[:-1]
 
-def sweep(spark: SparkSession, *keep: DataFrame) -> None:
-    """Deletes what :func:`stage` wrote so far, but for the tables that ``keep`` reads; for use once a result is written."""
-    held = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for at in list(_staged):
-        if at.split(":", 1)[-1].lstrip("/") not in held:
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(conf).delete(path, True)
-            _staged.remove(at)
+    def sweep(self, *keep: DataFrame) -> None:
+        """Deletes the tables of this scope, but for those that ``keep`` reads; for use once a result is written."""
+        held = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for at in list(self.paths):
+            if at.split(":", 1)[-1].lstrip("/") not in held:
+                path = jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(conf).delete(path, True)
+                self.paths.remove(at)
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -83,7 +104,8 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
         df.write.parquet(at)
     finally:
         spark.conf.set(_CLEAN, before)
-    _staged.append(at)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].paths.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
