@@ -202,18 +202,54 @@ def test_licenses(spark, odd_documents):
     }
     s = licenses.Scanner()
     for text, name in cases.items():
-        assert s.judge(text)[0] == name, text
-    assert s.judge("a licence to drive is not a template") is None
-    assert licenses.wording("the apache software license version 2.0".split(), "apache license version 2.0".split()) == ["software"]
+        assert {x[2] for x in s.find(text)} == {name}, text
+    assert s.find("a licence to drive is not a template") == []
+    assert licenses.wording("the apache software license version 2.0".split(), "apache license version 2.0".split()) == [(1, 5, ["software"])]
     rows = [(i, ("some text before\n" * 3) + t + "\nand after") for i, t in enumerate(cases)] + [(99, "nothing here"), (100, None), (101, "")]
     d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, license int")
     got = {r.doc_id: r for r in licenses.scan(d).collect()}
     assert {i: r.license for i, r in got.items()} == dict(enumerate(cases.values()))
-    r = got[0]
-    assert rows[0][1][r["from"] : r["to"]].startswith("Licensed under CC BY-NC")
+    assert rows[0][1][got[0]["from"] : got[0]["to"]] == "CC BY-NC 4.0"
     assert licenses.scan(odd_documents).count() == 0 and licenses.documents(licenses.scan(empty(spark))).count() == 0
 
 
+def test_licenses_that_are_named_together_or_denied():
+    s = licenses.Scanner()
+    of = lambda t: {x[2] for x in s.find(t) if not x[5]}
+    assert of("Dual licensed under the MIT License or the Apache License, Version 2.0.") == {"MIT", "Apache-2.0"}
+    assert of("Licensed under CC BY 4.0 (text) and GPL-3.0 (code); all rights reserved for logos.") == {"CC-BY-4.0", "GPL-3.0", "All-Rights-Reserved"}
+    assert of("This project is NOT under the MIT License.") == set() and [x[2] for x in s.find("This project is NOT under the MIT License.")] == ["MIT"]
+    assert of("It is not finished. Released under the MIT License.") == {"MIT"}
+    grant = next(t.text for t in licenses.TEMPLATES if t.name == "MIT")
+    text = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + textwrap.fill(grant, 72) + "\n\nAnd then some more prose of another kind."
+    found = s.find(text)
+    whole = max(found, key=lambda x: x[1] - x[0])
+    assert {x[2] for x in found} == {"MIT"} and text[whole[0] : whole[1]].startswith("Permission is") and text[whole[0] : whole[1]].endswith("SOFTWARE") and whole[3] > 0.5 and whole[4] == ""
+    changed = text.replace("free of charge", "for a fee").replace("sublicense", "sublicence")
+    whole = max(s.find(changed), key=lambda x: x[1] - x[0])
+    assert {"-free", "-charge", "+fee", "-sublicense", "+sublicence"} <= set(whole[4].split())
+    half = "Copyright (c) 2020 Somebody\n\n" + " ".join(grant.split()[:60])
+    assert of(half) == set()
+
+
+def test_license_blocks_equal_all_windows():
+    """Windows around license words find what all windows of the text find with every template."""
+    rng = random.Random(15)
+    s, pool = licenses.Scanner(), [t.text for t in licenses.TEMPLATES] + [p for t in licenses.TEMPLATES for p in t.phrases]
+    n = 0
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            parts.append(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(0, 400))))
+            own = rng.choice(pool).split()
+            parts.append(" ".join(w for w in own if rng.random() > 0.03))
+        text = textwrap.fill(" ".join(parts), rng.choice([50, 80, 100_000]))
+        a, b = s.find(text), s.find(text, every=True)
+        assert [(x[:3], x[4:]) for x in a] == [(x[:3], x[4:]) for x in b]
+        n += len(a)
+    assert n > 60
+
+
 def test_every_license_of_a_text(spark):
     texts = {0: "SPDX-License-Identifier: MIT OR Apache-2.0", 1: "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", 2: "all of it is GPLv3", 3: "the GNU General Public License, version 3, or the GNU Lesser General Public License"}
     want = {0: {"MIT", "Apache-2.0"}, 1: {"MIT", "Apache-2.0"}, 2: {"GPL-3.0"}, 3: {"GPL-3.0", "LGPL"}}
