@@ -5,8 +5,7 @@
    by weight. That water level has a closed form over the sources sorted by size / weight.
 2. Blocks of ``block`` words are allotted to sources by highest quotients target / (2k + 1), then each source's blocks
    to its shards likewise (a shard is a keyed hash of the document, so a source of any size spreads over many). The
-   allotment is found without listing quotients: round(target / (total / blocks)) is off by few blocks, and only the
-   quotients next to that cut are ranked.
+   allotment is exact, but only quotients near the cut are listed, about two a source or shard.
 3. In a shard, documents lie in seeded order as one circle of words cut into blocks; after whole epochs the remaining
    blocks are a run of blocks that begins at a seeded one. A document gets the words of its own that these blocks hold.
 
@@ -14,7 +13,8 @@ Only ids, sources and sizes are ever shuffled. What is per source or per shard i
 
 Nulls: a null text has size 0, the null source is a source of its own, sorted last; a null id is a document like others.
 Empty texts: size 0, nothing taken. Ties in the seeded order fall to the id; repeated rows are documents of their own,
-ordered among themselves arbitrarily but alike in size, so that the sums agree. Empty table: an empty result. Other
+ordered among themselves arbitrarily but alike in size, so that the sums agree. Very long texts
+are sized and cut whole. Empty table: an empty result. Other
 columns are ignored, whatever their names.
 """
 
@@ -65,28 +65,28 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EP
 def apportion(cells: DataFrame, weight: str, seats: str, within: list[str], ties: list[str]) -> DataFrame:
     """Adds ``quota``: Sainte-Lague seats of each cell, ``seats`` in each group ``within``; ties by the columns ``ties``.
 
-    Rounding weight / (sum / seats) gives quotas off from the total by at most half the cells; |difference| quotients
-    just below or above the cut are then ranked. Each cell offers as many as can matter, two more than a rounding error.
+    A cell of weight w has floor(w / u + 1 / 2) quotients w / (2k + 1) of at least u / 2. Of n cells that is between
+    sum / u - n / 2 and sum / u + n / 2, so at u = sum / (seats - n / 2) none too many are given and at u = sum / (seats +
+    n / 2) enough; only the quotients between these two, some 2 n in all, are ranked. Groups without weight get no seat.
     """
     g = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    c = cells.withColumn("_unit", F.sum(weight).over(g) / F.greatest(F.col(seats), F.lit(1)))
-    c = c.withColumn("_q0", F.when((F.col(weight) > 0) & (F.col(seats) > 0), F.floor(F.col(weight) / F.col("_unit") + 0.5)).otherwise(0).cast("long"))
-    c = c.withColumn("_diff", F.when(F.sum(weight).over(g) > 0, F.col(seats)).otherwise(0) - F.sum("_q0").over(g))
-    # the next quotients up (to add) or the last ones given (to take away); one or two of a cell can change
-    offers = F.when(F.col("_diff") > 0, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct((F.col(weight) / (2 * (F.col("_q0") + k) + 1)).alias("v"), F.lit(1).alias("s")))).when(
-        F.col("_diff") < 0, F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.struct(F.when(F.col("_q0") >= k, -F.col(weight) / (2 * (F.col("_q0") - k) + 1)).alias("v"), F.lit(-1).alias("s")))
-    )
+    w, sure = F.col(weight).cast("double"), F.col(seats) - F.col("_n") / 2
+    c = cells.withColumn("_sum", F.sum(F.col(weight).cast("double")).over(g)).withColumn("_n", F.count(F.lit(1)).over(g))
+    some = (F.col(seats) > 0) & (w > 0)
+    given = lambda n: F.floor(w * n / F.col("_sum") + 0.5)
+    c = c.withColumn("_q0", F.when(some & (sure > 0), F.greatest(given(sure) - 1, F.lit(0))).otherwise(0).cast("long"))
+    c = c.withColumn("_q1", F.when(some, given(F.col(seats) + F.col("_n") / 2) + 1).otherwise(0).cast("long"))
+    c = c.withColumn("_more", F.col(seats) - F.sum("_q0").over(g))
     keys = [*within, *ties]
-    # of equal quotients the first cell is served first, so the last one gives back first
-    at = F.row_number().over((Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(*[F.col(t).asc_nulls_last() for t in ties]))
-    o = c.withColumn("_t", at).select(*keys, "_diff", "_t", F.explode(offers).alias("o")).where("o.v is not null and (o.s < 0 or o.v > 0)")
-    r = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(F.col("o.v").desc(), F.col("o.s") * F.col("_t"))
-    changed = o.withColumn("_r", F.row_number().over(r)).where(F.col("_r") <= F.abs("_diff")).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("o.s").alias("_change"))
+    offers = c.where("_q1 > _q0").select(*keys, "_more", F.col(weight).alias("_w"), F.explode(F.sequence("_q0", F.col("_q1") - 1)).alias("_k"))
+    # of equal quotients the first cell is served first
+    best = g.orderBy((F.col("_w").cast("double") / (2 * F.col("_k") + 1)).desc(), *[F.col(t).asc_nulls_last() for t in ties])
+    changed = offers.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= F.col("_more")).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_change"))
     same = None
     for i, k in enumerate(keys):
         e = F.col(k).eqNullSafe(F.col(f"_k{i}"))
         same = e if same is None else same & e
-    return c.join(changed, same, "left").withColumn("quota", F.col("_q0") + F.coalesce(F.col("_change"), F.lit(0))).drop("_unit", "_q0", "_diff", "_change", *[f"_k{i}" for i in range(len(keys))])
+    return c.join(changed, same, "left").withColumn("quota", F.col("_q0") + F.coalesce(F.col("_change"), F.lit(0))).drop("_sum", "_n", "_q0", "_q1", "_more", "_change", *[f"_k{i}" for i in range(len(keys))])
 
 
 def _placed(docs: DataFrame, key: str, text: str, source: str, weights: tuple, max_epochs: int, seed: str, block: int | None, shard_docs: int, carry: bool) -> DataFrame:

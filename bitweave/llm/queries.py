@@ -75,10 +75,10 @@ with sized as (
     cast(greatest(1, least(1024, floor(total / (2000 * n)))) as bigint) as block
   from tri
 ), seats as (
-  select *, cast(round(total::double / block) as bigint) as seats, sum(target) over () as all_targets from tgt
+  select *, cast(round(total::double / block) as bigint) as seats from tgt
 ), quotients as (
   select source, row_number() over (order by target / (2 * k + 1) desc, source nulls last) as r, seats
-  from (select source, target, seats, unnest(range(0, cast(floor(target / (all_targets / greatest(seats, 1))) as bigint) + 4)) as k from seats where target > 0)
+  from (select source, target, seats, unnest(range(0, seats)) as k from seats where target > 0)
 ), quota as (
   select source, count(*) as quota from quotients where r <= seats group by source
 ), src as (
@@ -90,10 +90,10 @@ with sized as (
     ('0x' || substr(md5('mix-1-shard:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint % n_shards as shard
   from sized z join src s on z.source is not distinct from s.source
 ), cells as (
-  select source, shard, sum(size)::bigint as cell_size, any_value(quota) as quota, sum(sum(size)) over (partition by source) as whole from d group by source, shard
+  select source, shard, sum(size)::bigint as cell_size, any_value(quota) as quota from d group by source, shard
 ), cq as (
   select source, shard, row_number() over (partition by source order by cell_size / (2 * k + 1)::double desc, shard) as r, quota
-  from (select source, shard, quota, cell_size, unnest(range(0, cast(floor(cell_size / (whole / greatest(quota, 1)::double)) as bigint) + 4)) as k from cells where cell_size > 0)
+  from (select source, shard, quota, cell_size, unnest(range(0, quota)) as k from cells where cell_size > 0)
 ), cellq as (
   select source, shard, count(*) as cell_quota from cq where r <= quota group by source, shard
 ), e as (

@@ -60,15 +60,24 @@ def test_mix_meets_targets(spark, seed):
     assert words == {k: v for k, v in again.items() if v}
 
 
+def seats_by_force(w: dict, seats: int) -> dict:
+    best = sorted((-x / (2 * k + 1), i) for i, x in w.items() if x > 0 for k in range(seats))[:seats]
+    out = dict.fromkeys(w, 0)
+    for _, i in best:
+        out[i] += 1
+    return out
+
+
 def test_seats_are_those_of_highest_quotients(spark):
     rng = random.Random(4)
-    for _ in range(4):
-        w = [rng.choice([0, 1, 3, 10.5, 200]) for _ in range(9)]
-        seats = rng.randint(0, 40)
-        cells = spark.createDataFrame([(i, float(x), seats) for i, x in enumerate(w)], "i long, w double, seats long")
-        got = {r.i: r.quota for r in mixing.apportion(cells, "w", "seats", [], ["i"]).collect()}
-        best = sorted(((-x / (2 * k + 1), i) for i, x in enumerate(w) if x > 0 for k in range(seats)))[:seats]
-        assert [got[i] for i in range(9)] == [sum(j == i for _, j in best) for i in range(9)]
+    groups = {g: ({i: float(rng.choice([0, 1, 3, 10.5, 200])) for i in range(9)}, rng.randint(0, 40)) for g in range(6)}
+    groups |= {10: ({i: 1000.0 if i == 7 else 0.49 for i in range(101)}, 1049), 11: ({i: 3.0 if i else 900.0 for i in range(101)}, 700), 12: ({i: 0.0 for i in range(3)}, 5), 13: ({i: rng.random() ** 4 for i in range(60)}, 25), 14: ({i: float(i % 4) for i in range(50)}, 333)}
+    cells = spark.createDataFrame([(g, i, x, n) for g, (w, n) in groups.items() for i, x in w.items()], "g long, i long, w double, seats long")
+    got = {(r.g, r.i): r.quota for r in mixing.apportion(cells, "w", "seats", ["g"], ["i"]).collect()}
+    for g, (w, n) in groups.items():
+        assert {i: got[g, i] for i in w} == seats_by_force(w, n), g
+    one = cells.where("g = 10")
+    assert {r.i: r.quota for r in mixing.apportion(one, "w", "seats", [], ["i"]).collect()} == seats_by_force(*groups[10])
 
 
 def test_mix_of_odd_documents(spark, odd_documents):
