@@ -1,12 +1,13 @@
 """Chat formatting by a finite-state machine over roles.
 
-A declarative :class:`Template` holds the control strings, the roles under the loss and the machine's moves. Each turn
-becomes segments (opening, text, closing), each with its loss flag. Texts and roles are escaped: every control string
-begins with ``<``, and inside texts ``\\`` becomes ``\\\\`` and ``<`` becomes ``\\<``, so a text can hold any control
-string, the template's own marks included, and is read back exactly. In roles ``>`` is escaped too, as it ends the opening.
+A declarative :class:`Template` holds the control strings, the roles under the loss, the machine's moves and its final
+roles. Each turn becomes segments (opening, text, closing), each with its loss flag. Texts and roles are escaped: each
+control string has a lead, its first character that is no white space, and inside texts a backslash is put before every
+backslash and every lead of an opening or closing. So no control string, the template's own included, is ever without a
+backslash before it inside a text, and the text is read back exactly. In roles the lead of the opening's end is escaped too.
 
-The machine follows one conversation through its turns in order and needs only the role before; a turn that has no move
-is kept, formatted and flagged ``turn_ok = false``, so nothing is lost.
+The machine follows one conversation through its turns in order and needs only the role before; a turn that has no move,
+or ends the conversation in a role that isn't final, is kept, formatted and flagged ``turn_ok = false``, so nothing is lost.
 
 Nulls: a null text or role counts as empty; rows with a null conversation form the conversation null; a null turn sorts
 first. Ties and repeated rows: turns of equal number are ordered by role, then text, and all are kept. Empty texts give
@@ -15,6 +16,7 @@ an empty segment. Empty table: an empty result. Other columns are ignored, whate
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
@@ -33,12 +35,25 @@ class Template:
     close: str = "\n</turn>\n"
     loss_roles: tuple[str, ...] = ("assistant",)
     moves: dict = field(default_factory=lambda: {START: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
-    finals: tuple[str, ...] = ("assistant", "user")
+    finals: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        for mark in (self.open_before, self.open_after, self.close):
+            if lead(mark) in ("", "\\"):
+                raise ValueError("a control string needs a first character that is neither white space nor a backslash")
 
-def escape(c: Column, also: str = "") -> Column:
-    """Backslash first, then ``<`` and the characters of ``also``; each gets a backslash before it."""
-    for x in "\\<" + also:
+    def leads(self) -> str:
+        """The characters to escape in texts."""
+        return "".join(dict.fromkeys(lead(self.open_before) + lead(self.close)))
+
+
+def lead(mark: str) -> str:
+    return mark.strip()[:1]
+
+
+def escape(c: Column, leads: str) -> Column:
+    """Backslash first, then each of ``leads``; each gets a backslash before it."""
+    for x in dict.fromkeys("\\" + leads):
         c = F.replace(c, F.lit(x), F.lit("\\" + x))
     return c
 
@@ -58,6 +73,7 @@ def format_turns(rows: DataFrame, template: Template = Template(), conv: str = "
     before = F.lag("role").over(w)
     moves = F.create_map(*[x for k, v in template.moves.items() if k != START for x in (F.lit(k), F.array(*map(F.lit, v)))])
     first = F.array(*map(F.lit, template.moves[START]))
+    final = F.lead("role").over(w).isNotNull() | F.col("role").isin(*template.finals)
     ok = F.when(before.isNull(), F.array_contains(first, F.col("role"))).otherwise(F.coalesce(F.array_contains(F.try_element_at(moves, before), F.col("role")), F.lit(False)))
     seg = lambda t, loss: F.struct(t.alias("text"), loss.alias("loss"))
     no = F.lit(False)
@@ -66,10 +82,10 @@ def format_turns(rows: DataFrame, template: Template = Template(), conv: str = "
         "conv_id",
         "turn",
         F.row_number().over(w).alias("pos"),
-        ok.alias("turn_ok"),
+        (ok & final).alias("turn_ok"),
         F.array(
-            seg(F.concat(F.lit(template.open_before), escape(F.col("role"), ">"), F.lit(template.open_after)), no),
-            seg(escape(F.col("text")), loss),
+            seg(F.concat(F.lit(template.open_before), escape(F.col("role"), template.leads() + lead(template.open_after)), F.lit(template.open_after)), no),
+            seg(escape(F.col("text"), template.leads()), loss),
             seg(F.lit(template.close), no),
         ).alias("segments"),
     )
@@ -93,10 +109,12 @@ def read_back(lines: DataFrame, template: Template = Template()) -> DataFrame:
     """Role, text and text under the loss of each turn, parsed from formatted text and mask alone."""
     t = F.col("text")
     body = F.substring(t, F.lit(len(template.open_before) + 1), F.char_length(t))
-    # The opening ends at its first unescaped ">".
-    role = F.regexp_extract(body, r"(?s)^([^\\>]*+(?:\\.[^\\>]*+)*+)>", 1)
-    at = F.char_length(role) + 1
-    rest = F.substring(body, at + len(template.open_after), F.char_length(body))
+    # the opening's end has the first lead of its own that isn't escaped; white space may come before it
+    end = re.escape(lead(template.open_after))
+    role = F.regexp_extract(body, rf"(?s)^((?:\\.|(?!{end})[^\\])*+){end}", 1)
+    at = F.char_length(role) - template.open_after.index(lead(template.open_after))
+    role = F.substring(role, F.lit(1), at)
+    rest = F.substring(body, at + len(template.open_after) + 1, F.char_length(body))
     text = F.substring(rest, F.lit(1), F.char_length(rest) - len(template.close))
     return lines.select(
         "conv_id",

@@ -36,10 +36,10 @@ with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select * from (values (cast(-7 as bigint), cast(0 as bigint), 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v(conv_id, turn, role, text)
 ), t as (
-  select *, row_number() over w as pos, lag(role) over w as before from rows
+  select *, row_number() over w as pos, lag(role) over w as before, lead(role) over w as after from rows
   window w as (partition by conv_id order by turn nulls first, role, text)
 ), u as (
-  select *, case when before is null then role in ('system', 'user') when before = 'system' then role = 'user' when before = 'user' then role = 'assistant' when before = 'assistant' then role = 'user' else false end as turn_ok,
+  select *, (after is not null or role = 'assistant') and case when before is null then role in ('system', 'user') when before = 'system' then role = 'user' when before = 'user' then role = 'assistant' when before = 'assistant' then role = 'user' else false end as turn_ok,
     length(role) + length(regexp_replace(role, '[^\\<>]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<]', '', 'g')) + 17 as chars,
     case when role = 'assistant' then text else '' end as loss
   from t

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from bitweave.llm.held import held, small_batches
 
-TOKENIZER_DIR = "/opt/tokenizers"
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
 
@@ -54,8 +53,9 @@ def _words(enc) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in out]
 
 
-def encode_spliced(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, longest_special: int = 16) -> list[int]:
+def encode_spliced(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
     """The ids of the whole text, from encodings of overlapping chunks."""
+    longest_special = max((len(t.content) for t in tok.get_added_tokens_decoder().values()), default=0) + 1
     n, ids, start = len(text), [], 0
     enc = tok.encode(text[:chunk], add_special_tokens=False)
     end, first = min(chunk, n), 0
@@ -91,7 +91,7 @@ def _again(old: list[tuple[int, int, int]], first: int, new: list[tuple[int, int
     return next(k for k, a, _ in new if a == at)
 
 
-def count_batches(path: str, chunk: int, overlap: int, out: list[str], key: str, text: str):
+def count_batches(path: str, chunk: int, overlap: int, key: str, text: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = held(("tokenizer", path), lambda: tokenizer(path))
         for pdf in batches:
@@ -124,5 +124,5 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     """Each row's key, UTF-8 bytes, tokens and whether these exceed ``limit``; a narrow plan, no shuffle."""
     kind = dict(docs.dtypes)[key]
     slim = small_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = slim.mapInPandas(count_batches(path, chunk, overlap, [], "k", "t"), f"k {kind}, n_bytes long, n_tokens long")
+    counted = slim.mapInPandas(count_batches(path, chunk, overlap, "k", "t"), f"k {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("k").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

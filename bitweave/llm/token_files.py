@@ -5,7 +5,7 @@ that the most frequent 256 take one byte; the file holds its own ranking and nee
 byte, two bits each: bytes less one. A reader looks the 256 control bytes up in a table of four lengths, sums them and
 gathers all ranks at once with numpy.
 
-A folder holds ``ids-BBBBB-PPPP.svb`` files, whose names in order are the documents in ascending order of their ids,
+A folder holds ``ids-BBBBBBBB-PPPPPPPP.svb`` files, whose names in order are the documents in ascending order of their ids,
 nulls first. A file: magic, documents, ids, ranks, control bytes, data bytes (each 8 bytes), then the id of each rank (4
 bytes), per document a null flag (1 byte), its id (8 bytes) and its number of ids (8 bytes), then the control bytes
 (each document begins a new one) and the data bytes.
@@ -15,7 +15,8 @@ A file is written under a temporary name and moved, and its content depends only
 no harm. A range is split into several files at ``FILE_IDS`` ids.
 
 Nulls: a null text is empty and has the end id alone; a null id sorts first. Repeated ids: each row is a document,
-ordered by its number of ids, then its ids. Empty table: no files, an empty result. Other columns are ignored, whatever
+ordered by its number of ids, then its ids. Very long texts are
+encoded whole. Empty table: no files, an empty result. Other columns are ignored, whatever
 their names. Ids of documents must be whole numbers.
 """
 
@@ -36,6 +37,8 @@ from bitweave.llm.word_encoder import encoder, portions, ragged
 MAGIC = 0x31425653
 END_ID = 2
 FILE_IDS = 16 << 20
+#: A range of ids has so many documents about; ranges at the most, as their bounds go along with each task.
+SHARD_DOCS, MOST_SHARDS = 20_000, 100_000
 PART_IDS = 1 << 18  # ids that are packed or unpacked at once
 
 
@@ -168,7 +171,7 @@ def _write(folder: str, file_ids: int, kind: str):
         def flush() -> pd.DataFrame:
             pdf = pd.concat(held)
             n = pdf["n"].to_numpy()
-            name = f"ids-{bucket:05d}-{part:04d}.svb"
+            name = f"ids-{bucket:08d}-{part:08d}.svb"
             ids = np.frombuffer(b"".join(pdf["ids"]), kind)
             write_bytes(f"{folder}/{name}", *encode_file(pdf["known"].to_numpy(), pdf["k"].to_numpy(), n, ids))
             return pd.DataFrame({"name": [name], "n_docs": [len(pdf)], "n_ids": [int(n.sum())]})
@@ -197,7 +200,7 @@ def _write(folder: str, file_ids: int, kind: str):
 def write(docs: DataFrame, folder: str, path: str, key: str = "doc_id", text: str = "text", end_id: int | None = END_ID, shards: int | None = None, file_ids: int = FILE_IDS) -> pd.DataFrame:
     """Writes all documents; returns the files in order: name, n_docs, n_ids, start. One row a file reaches the driver."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(1, min(MOST_SHARDS, docs.count() // SHARD_DOCS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     f, p = _fs(folder)
     f.create_dir(p, recursive=True)
     top = max(tokenizer(path).get_vocab_size(), (end_id or 0) + 1)

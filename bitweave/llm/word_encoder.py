@@ -6,6 +6,8 @@ of those met before, found by hash and confirmed by all of their bytes. New piec
 with a full stop or comma behind, go through the vocabulary's merges, all at once; other new pieces to the tokenizers
 library. Whole texts go to the library if they hold a special string, a NUL or a character beyond Latin (U+0250 and up,
 or the dotted capital I): below that, Python's lower case is the library's and composition changes nothing.
+
+That holds for tokenizer files of one shape only (``SHAPE``); texts for any other file are encoded by the library alone.
 """
 
 from __future__ import annotations
@@ -332,8 +334,36 @@ class WordEncoder:
         return at, n, np.concatenate(pools) if pools else np.zeros(0, np.uint32)
 
 
-def encoder(path: str) -> WordEncoder:
-    return held(("words", path), lambda: WordEncoder(path))
+#: What a tokenizer file must say for its words to be encoded apart, besides special strings and the vocabulary.
+SHAPE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether :class:`WordEncoder` may encode for that file."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    model = {k: v for k, v in d["model"].items() if k not in ("vocab", "merges")}
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in d.get("added_tokens") or [])
+    return plain and d.get("normalizer") == SHAPE["normalizer"] and d.get("pre_tokenizer") == SHAPE["pre_tokenizer"] and model == SHAPE["model"]
+
+
+class LibraryEncoder:
+    """The same for any tokenizer file: all texts by the library."""
+
+    def __init__(self, path: str):
+        self.tok = tokenizer(path)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.uint32), np.array(list(map(len, got)), np.int64)
+
+
+def encoder(path: str) -> WordEncoder | LibraryEncoder:
+    return held(("words", path), lambda: WordEncoder(path) if by_words(path) else LibraryEncoder(path))
 
 
 def portions(texts: list[str], chars: int = 1 << 20):

@@ -146,9 +146,23 @@ def test_chat_reads_back_exactly(spark):
     assert chat.digest(chat.read_back(chat.formatted(chat.format_turns(d.limit(0))))).count() == 0
 
 
+@pytest.mark.parametrize("marks", [("### ", ":\n", "\n### end\n"), ("[[", "\n]]", "[/]"), ("<|start|>", "<|sep|>", "<|end|>"), ("*", "*", "*"), ("«", " »\n", "¶")])
+def test_any_template_reads_back(spark, marks):
+    t = chat.Template(*marks)
+    nasty = [*marks, "".join(marks), "\\" + marks[1], marks[2] + marks[0] + "user" + marks[1], "\\", "\\\\" + marks[2], "x" + marks[0][:1], "", "\n", " a \n"]
+    rows = [(1, i, r, x) for i, (r, x) in enumerate((r, x) for r in ("user", "assistant", marks[1], "a" + marks[0], "\n") for x in nasty)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    lines = chat.formatted(chat.format_turns(d, t))
+    got = chat.read_back(lines, t).orderBy("pos").collect()
+    assert [(r.role, r.text) for r in got] == [(r, x) for _, _, r, x in rows]
+    with pytest.raises(ValueError):
+        chat.Template("\n", ">", "x")
+
+
 def test_chat_moves(spark):
     d = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "assistant", "a"), (2, 1, "user", "u"), (2, 2, "user", "u")], "conv_id long, turn long, role string, text string")
     assert [(r.conv_id, r.turn_ok) for r in chat.format_turns(d).orderBy("conv_id", "pos").collect()] == [(1, True), (1, True), (1, True), (2, False), (2, True), (2, False)]
+    assert [r.turn_ok for r in chat.format_turns(d, chat.Template(finals=("user",))).orderBy("conv_id", "pos").collect()] == [True, True, False, False, True, False]
     segments = chat.format_turns(d).where("conv_id = 1 and pos = 3").first().segments
     assert [s.loss for s in segments] == [False, True, False]
 
@@ -175,10 +189,12 @@ def test_words_equal_library():
     assert np.array_equal(ids, np.concatenate(want)) and n.tolist() == [len(w) for w in want]
 
 
-def test_files_round_trip(spark, odd_documents, tmp_path):
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_files_round_trip(spark, odd_documents, tmp_path, path):
     folder = f"file://{tmp_path}/f"
-    files = token_files.write(odd_documents, folder, WORDS, shards=3, file_ids=50)
-    tok, at = token_counts.tokenizer(WORDS), 0
+    assert word_encoder.by_words(path) == (path == WORDS)
+    files = token_files.write(odd_documents, folder, path, shards=3, file_ids=50)
+    tok, at = token_counts.tokenizer(path), 0
     rows = sorted(odd_documents.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     full = sorted(token_files.read(spark, folder, files).collect(), key=lambda r: r.start)
     short = {r.start: r for r in token_files.read(spark, folder, files, digests=True).collect()}
