@@ -2,8 +2,9 @@
 
 1. Equal vectors of a label become one class (smallest id, multiplicity), so copies never meet each other.
 2. Each class gets a signature of ``bits`` signs in each of ``tables`` tables. Classes that agree in a table share a
-   bucket of that table. At a cosine of 0.93 a sign agrees with probability 0.88, so 14 bits agree with 0.167 and one of
-   40 tables does with 0.9993; at 0.97 with 1 - 6e-7. For many more rows a label, raise both.
+   bucket of that table. Bits grow with the logarithm of the classes of the largest label, so that unlike vectors seldom
+   meet however many there are; tables are then as many as find a pair at the threshold with probability 1 - ``miss``. At
+   a cosine of 0.93 a sign agrees with probability 0.88: 13 bits agree with 0.19, and one of 34 tables does with 0.9993.
 3. A bucket above ``tile`` classes is cut into chunks by a keyed hash, and each pair of chunks is a task of its own, so
    a bucket that holds a third of all rows spreads over the cluster. In a tile all cosines are exact, in double
    precision; pairs stay inside it: out come, per class, the number of vectors linked (a pair counts in the first table
@@ -14,11 +15,12 @@ Nulls: a vector that is null, empty, zero or holds null or non-finite components
 null label; each such row is a component of itself. Vectors of different length never compare. Ties and repeated rows:
 rows that share an id are one node, whose links
 are those of all its vectors together, and each has a row in the result. Empty table: an empty result.
-Other columns are ignored, whatever their names.
+Other columns are ignored, whatever their names. Nothing in the result depends on the order of rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,14 @@ from pyspark.sql import functions as F
 from bitweave.operators.components import connected_components
 from bitweave.session import cut
 
-BITS, TABLES, TILE, SEED = 14, 40, 1024, 20240229
+MISS, TILE, SEED = 7e-4, 1024, 20240229
+
+
+def tuned(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
+    """Bits and tables for n classes in the largest label."""
+    bits = min(32, max(6, math.ceil(math.log2(max(n, 1)))))
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(miss) / math.log1p(-agree))) if agree < 1 else 1
 
 
 def planes(dim: int, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
@@ -42,7 +51,7 @@ def sig_type(bits: int) -> str:
 
 def signatures(x: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
     s = (x @ planes(x.shape[1], bits, tables, seed)) >= 0
-    return (s.reshape(len(x), tables, bits) * (1 << np.arange(bits))).sum(2).astype(sig_type(bits))
+    return (s.reshape(len(x), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2).astype(sig_type(bits))
 
 
 def _sign(bits: int, tables: int, vec_type: str):
@@ -167,16 +176,19 @@ def _link(threshold: float, vec_type: str, sig_type: str):
     return run
 
 
-def near_duplicates(rows: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str = "label", threshold: float = 0.93, bits: int = BITS, tables: int = TABLES, tile: int = TILE) -> DataFrame:
+def near_duplicates(rows: DataFrame, key: str = "vec_id", vec: str = "embedding", label: str = "label", threshold: float = 0.93, bits: int | None = None, tables: int | None = None, miss: float = MISS, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row."""
     vec_type = "<f4" if dict(rows.dtypes)[vec] == "array<float>" else "<f8"  # either way cosines are of doubles
-    width = int(sig_type(bits)[-1])
     d = rows.select(F.col(key).alias("vec_id"), F.col(vec).cast("array<double>").alias("embedding"), F.col(label).alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     some = F.exists("embedding", lambda v: v != 0)
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & some, F.lit(False))
     d = d.withColumn("good", good)
     classes = d.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"))
+    most = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    own_bits, own_tables = tuned(most, threshold, miss)
+    bits, tables = bits or own_bits, tables or own_tables
+    width = int(sig_type(bits)[-1])
     kind = dict(d.dtypes)["label"]
     signed = cut(classes.mapInPandas(_sign(bits, tables, vec_type), f"rep long, label {kind}, dim int, mult long, vec binary, sig binary"))
     keys = signed.select("rep", "label", "dim", "sig").select("rep", "label", "dim", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda i: F.substring("sig", i * width + 1, F.lit(width)))).alias("t", "bucket"))

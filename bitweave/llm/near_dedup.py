@@ -55,6 +55,7 @@ WHOLE, BOTTOM, NEED = 64, 16, 6
 #: Smaller and larger texts of a tile; the most bits of the filter that larger texts' shingles pass.
 SMALLER, LARGER, FILTER_BITS = 2048, 1024, 30
 _BAND = 7  # low bits of a key that hold its band
+PORTION = 1 << 19  # characters worked off at once
 _LOW = (1 << 31) - 1
 _NONE = np.zeros(0, "<u4")
 
@@ -108,7 +109,7 @@ def _sign(k: int, bands: int, whole: int, bottom: int):
             salt = mix(band + np.uint64(1))
         for pdf in batches:
             texts = _texts(pdf)
-            for lo, hi in portions(texts):
+            for lo, hi in portions(texts, PORTION):
                 prints, n = fingerprints(texts[lo:hi], k)
                 m = minhash(*narrow(prints, n), bands * 2).astype(np.uint64)
                 keys = mix((m[:, ::2] << np.uint64(32) | m[:, 1::2]) ^ salt)
@@ -122,7 +123,7 @@ def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = _texts(pdf)
-            for lo, hi in portions(texts):
+            for lo, hi in portions(texts, PORTION):
                 sets, n = narrow(*fingerprints(texts[lo:hi], k))
                 ends = np.cumsum(n) * 4
                 flat = sets.astype("<u4").tobytes()
@@ -171,7 +172,7 @@ def _hits(k: int, bits: int, words):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = _texts(pdf)
-            for lo, hi in portions(texts):
+            for lo, hi in portions(texts, PORTION):
                 prints, n = fingerprints(texts[lo:hi], k)
                 doc = np.repeat(np.arange(len(n)), n)
                 at = _passing(prints, bits, words.value)

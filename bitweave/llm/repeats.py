@@ -36,12 +36,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bitweave.llm.held import small_batches
 from bitweave.llm.shingles import mix
 from bitweave.llm.word_encoder import ragged
-from bitweave.session import stage
+from bitweave.session import Staging, stage
 
 LENGTH, GRAM, BLOCK = 200, 64, 8
 PIECE = 1 << 20
@@ -257,20 +256,36 @@ def _spans(length: int, gram: int, block: int, piece: int):
 
 
 def _found(rows: DataFrame, name: str) -> DataFrame:
-    """(d, x, list of numbers) of what occurs twice."""
-    n = F.sum("w").over(Window.partitionBy("own", "x", "y"))
-    hit = rows.withColumn("n", n).where("n > 1")
-    return stage(hit.groupBy("d", F.col("h").alias("x")).agg(F.collect_set("number").alias(name)), name)
+    """(d, x, list of numbers) of what occurs twice.
+
+    What a batch knows to repeat is settled as it is. Of the rest fingerprints are counted, merged before the shuffle, and
+    those that repeat are joined back; a hot one's join may be split.
+    """
+    with Staging(rows.sparkSession) as asked:
+        rows = stage(rows, "asked")
+    rest = rows.where("not own")
+    often = rest.groupBy("x", "y").agg(F.sum("w").alias("n")).where("n > 1").select("x", "y")
+    hit = rows.where("own").select("d", "h", "number").unionByName(rest.join(often.hint("merge"), ["x", "y"]).select("d", "h", "number"))
+    found = stage(hit.groupBy("d", F.col("h").alias("x")).agg(F.collect_set("number").alias(name)), name)
+    asked.sweep()
+    return found
 
 
 def _settled(rows: DataFrame, name: str) -> DataFrame:
-    """(d, x, settled numbers, numbers that go on): by fingerprint within the group of equal cores."""
-    same, group = Window.partitionBy("own", "g", "x", "y"), Window.partitionBy("own", "g")
-    r = rows.withColumn("n", F.sum("w").over(same)).withColumn("r", F.row_number().over(same.orderBy("d", "h", "number")))
-    r = r.withColumn("total", F.sum("w").over(group)).withColumn("open", F.min("n").over(group) < 2)
-    goes = (F.col("total") > 1) & F.col("open") & ((F.col("n") < 2) | (F.col("r") == 1))
+    """(d, x, settled numbers, numbers that go on): by fingerprint within the group of equal cores; sums as in _found."""
+    with Staging(rows.sparkSession) as asked:
+        rows = stage(rows, "asked")
+    rest = rows.where("not own")
+    each = rest.groupBy("g", "x", "y").agg(F.sum("w").alias("n"), F.min(F.struct("d", "h", "number")).alias("one"))
+    group = each.groupBy("g").agg(F.sum("n").alias("total"), (F.min("n") < 2).alias("open")).where("total > 1")
+    each = each.join(group.hint("merge"), "g")  # the others neither settle nor go on
+    r = rest.join(each.hint("merge"), ["g", "x", "y"])
+    goes = F.col("open") & ((F.col("n") < 2) | (F.struct("d", "h", "number") == F.col("one")))
     r = r.select("d", F.col("h").alias("x"), F.when(F.col("n") > 1, F.col("number")).alias("settled"), F.when(goes, F.col("number")).alias("goes")).where("settled is not null or goes is not null")
-    return stage(r.groupBy("d", "x").agg(F.collect_set("settled").alias(name), F.collect_set("goes").alias(f"ask_{name}")), name)
+    r = r.unionByName(rows.where("own").select("d", F.col("h").alias("x"), F.col("number").alias("settled"), F.lit(None).cast("long").alias("goes")))
+    found = stage(r.groupBy("d", "x").agg(F.collect_set("settled").alias(name), F.collect_set("goes").alias(f"ask_{name}")), name)
+    asked.sweep()
+    return found
 
 
 def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:

@@ -240,7 +240,8 @@ def test_all_links_at_all_sizes(spark):
 # ---- near-duplicates of vectors ----
 
 
-def test_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("params", [{}, {"tile": 16}, {"bits": 5, "tables": 60, "tile": 64}, {"bits": 20, "tables": 150}])
+def test_vectors_equal_brute_force(spark, params):
     rng = np.random.default_rng(5)
     rows, centres = [], rng.standard_normal((12, 16))
     for i in range(400):
@@ -251,7 +252,7 @@ def test_vectors_equal_brute_force(spark):
         rows.append((i, rows[7][1], rows[7][2]))
     rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, rows[7][1], None), (904, [None] + [1.0] * 15, 1), (905, [1.0, 2.0], 0), (906, [2.0, 4.0], 0), (907, [], 1), (908, [float("inf")] * 16, 1)]
     d = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, rep int, tile int")
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(d, bits=5, tables=60, tile=64).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(d, **params).collect()}
     good = [(i, np.asarray(v, float), l) for i, v, l in rows if i < 900 or i in (905, 906)]
     links = {i: [j for j, w, m in good if j != i and m == l and len(w) == len(v) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93] for i, v, l in good}
     comp = {i: i for i in links}
@@ -264,6 +265,13 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_bits_follow_the_rows():
+    for n in (0, 1, 500, 5_000, 10**6, 10**9, 10**12):
+        bits, tables = embedding_dedup.tuned(n, 0.93)
+        assert 6 <= bits <= 32 and (bits == 32 or 2**bits >= n)
+        assert (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables <= 7e-4
+
+
 # ---- pipeline and SQL ----
 
 
