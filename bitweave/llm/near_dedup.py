@@ -432,10 +432,11 @@ def contained(d: DataFrame, classes: DataFrame, k: int, containment: float, near
     for ks, width in ((inner, 31), (wanted.select("key"), 48)):
         bits, words = filter_words(ks, ks.count(), min(most, width), width)
         filters.append((bits, spark.sparkContext.broadcast(words)))
-    b = hits.mapInPandas(_narrowed(*filters), "id long, s int, keys array<int>, first array<long>")
-    b = b.select(F.col("id").alias("r"), "s", F.explode("first").alias("key"), "keys").join(plan, "key").where(F.col("s") > F.lit(near) * F.col("least"))
-    b = b.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-    right = b.select(cell(F.col("j"), F.pmod(F.hash("r"), F.col("nb"))).alias("tile"), F.lit(1).alias("side"), "r", "s", none("pos"), none("need"), "keys")
+    b = stage(hits.mapInPandas(_narrowed(*filters), "id long, s int, keys array<int>, first array<long>"), "outer")
+    # which tiles a text goes to is found without its keys, which follow last
+    slim = b.select(F.col("id").alias("r"), "s", F.explode("first").alias("key")).join(plan, "key").where(F.col("s") > F.lit(near) * F.col("least"))
+    slim = slim.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).select(cell(F.col("j"), F.pmod(F.hash("r"), F.col("nb"))).alias("tile"), "r")
+    right = slim.join(b.select(F.col("id").alias("r"), "s", "keys").hint("merge"), "r").select("tile", F.lit(1).alias("side"), "r", "s", none("pos"), none("need"), "keys")
     rows = left.unionByName(right).repartition("tile").sortWithinPartitions("tile", "side")
     return stage(rows.mapInPandas(_inside(near, whole), "rep long, links long, containers long, container long, a long, b long, tile long"), "inside")
 
