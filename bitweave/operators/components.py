@@ -22,7 +22,7 @@ def _star(sym: DataFrame) -> tuple[DataFrame, DataFrame]:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
     """``(id, component)`` of every node of an edge; component is the smallest id reachable. Nodes without edges aren't listed.
 
-    Self-loops make their node a component of its own; edges with a null end are ignored; repeats do no harm.
+    Raises if ``max_rounds`` don't suffice. Self-loops make their node a component of its own; edges with a null end are ignored; repeats do no harm.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct()
     e = cut(e)
@@ -39,6 +39,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     nodes = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     roots = e.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return nodes.unionByName(roots).groupBy("id").agg(F.min("component").alias("component"))

@@ -130,6 +130,8 @@ def spanning_forest(candidates: DataFrame, nodes: DataFrame | None = None, max_r
         chosen.append(low.select("src", "dst", "dist").distinct())
         merged = _contract(low.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
         comp = stage(comp.join(merged.select(F.col("id").alias("component"), F.col("component").alias("c2")), "component", "left").select("id", F.coalesce("c2", "component").alias("component")), "components")
+    else:
+        raise RuntimeError(f"the forest is not settled after {max_rounds} rounds")
     out = cand.limit(0).select("src", "dst", "dist")
     for c in chosen:
         out = out.unionByName(c)

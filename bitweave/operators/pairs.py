@@ -46,7 +46,7 @@ def multiclass_pairs(labels: DataFrame, n_pos: int, n_neg: int, seed: str = "cla
     w = Window.partitionBy("label").orderBy(hash_number(F.lit(seed), F.col("id").cast("string")), "id")
     anchors = lab.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max(n_pos, n_neg)).select(F.col("id").alias("a"), F.col("label").alias("al"), "r")
     order = lambda x, y: (F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
-    pos = lab.join(F.broadcast(anchors.where(F.col("r") <= n_pos)), F.col("label") == F.col("al")).where("id <> a").select(*order("id", "a")).distinct()
+    pos = lab.join(anchors.where(F.col("r") <= n_pos), F.col("label") == F.col("al")).where("id <> a").select(*order("id", "a")).distinct()
     classes = [r["label"] for r in lab.select("label").distinct().orderBy("label").collect()]  # classes are few
     if len(classes) < 2:
         return pos, pos.limit(0)
@@ -55,7 +55,7 @@ def multiclass_pairs(labels: DataFrame, n_pos: int, n_neg: int, seed: str = "cla
     pick = lab.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_neg - 1))))
     others = F.element_at(follow, F.col("label"))
     pick = pick.withColumn("al", F.element_at(others, (hash_number(F.lit(seed), F.col("id").cast("string"), F.col("j").cast("string")) % (len(classes) - 1) + 1).cast("int"))).withColumn("r", F.col("j") + 1)
-    neg = pick.join(F.broadcast(anchors), ["al", "r"]).select(*order("id", "a")).distinct()
+    neg = pick.join(anchors, ["al", "r"]).select(*order("id", "a")).distinct()
     return pos, neg
 
 

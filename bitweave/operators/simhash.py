@@ -37,8 +37,13 @@ def encode(index: DataFrame, n_bits: int, n_ranks: int = 1, n_quantiles: int = 1
         times = F.greatest(F.lit(1), F.round(F.col("weight") / top * n_quantiles).cast("int"))
     else:
         times = F.lit(1)
-    votes = feats.unionByName(lone).where(width > 0).select("id", times.alias("t"), "f", F.explode(F.sequence(place, place + width - 1)).alias("bit"))
-    signed = F.when(hash_number(F.lit(seed), F.col("f"), F.col("bit").cast("string")) % 2 == 0, 1).otherwise(-1)
-    per_bit = votes.groupBy("id", "bit").agg(F.sum(F.col("t") * signed).alias("v"))
-    bits = per_bit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bit", (F.col("v") >= 0).cast("int")))).alias("m"))
+    both = feats.unionByName(lone).where(width > 0).select("id", "f", "rank", times.alias("t"))
+    # a feature is hashed once, not once a row; votes are summed in place, partially before the shuffle
+    sign = lambda bit: F.when(hash_number(F.lit(seed), F.col("f"), bit.cast("string")) % 2 == 0, 1).otherwise(-1)
+    signs = both.select("f", "rank").distinct().select("f", "rank", F.transform(F.sequence(place, place + width - 1), sign).alias("s"))
+    sums = [F.sum(F.col("t") * F.get("s", i)).alias(f"v{i}") for i in range(max(own))]
+    per_rank = both.join(signs, ["f", "rank"]).groupBy("id", "rank").agg(*sums)
+    entries = F.array(*[F.struct((place + i).alias("bit"), (F.col(f"v{i}") >= 0).cast("int").alias("b")) for i in range(max(own))])
+    kept = F.filter(entries, lambda x: x["b"].isNotNull())
+    bits = per_rank.select("id", kept.alias("e")).groupBy("id").agg(F.map_from_entries(F.flatten(F.collect_list("e"))).alias("m"))
     return bits.select("id", pack(F.transform(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))), n_bits).alias("code"))

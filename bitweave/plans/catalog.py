@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.functions import bits, text
+from bitweave.functions import bits, similarity, text
 from bitweave.operators import binarize, booleanizer, cluster, clause_machine, graph, hamming, landmarks, metrics, selection, setjoin, simhash, spectral
 from bitweave.operators.corex import Corex
-from bitweave.operators.pairs import maximum_spanning_tree, multiclass_pairs, random_pairs
+from bitweave.operators.pairs import maximum_spanning_tree, multiclass_pairs, numbered, random_pairs
 from bitweave.session import stage, table
 from bitweave.sources import datasets
 
@@ -54,20 +54,12 @@ def doc_bits(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 1))).alias("feature"))
 
 
-def rare_bits(spark: SparkSession, d: str, most: float = 0.1) -> DataFrame:
-    """doc_bits without words of more than a tenth of all documents, or of one alone."""
-    b = doc_bits(spark, d)
-    n = table(spark, d, "documents").count()
-    df = selection.document_frequency(b, n, 2, most)
-    return b.join(df.select("feature"), "feature", "left_semi").select("id", "feature")
-
-
-RARE = """
+WORDS = """
 docs as (select doc_id as id, lower(coalesce(text, '')) as t from documents),
 allbits as (select distinct id, feature from (select id, unnest(regexp_extract_all(t, '[a-z]+')) as feature from docs) where length(feature) > 1),
 df as (select feature, count(*) as df from allbits group by feature),
 nn as (select count(*) as n from documents),
-bits as (select id, a.feature from allbits a join df using (feature), nn where df >= 2 and df <= n * 0.1)
+bits as (select id, feature from allbits)
 """
 
 CODES = """
@@ -116,24 +108,25 @@ def hamming_topk(spark, d):
 
 @query("hamming_range", f"""
 with {CODES}, d as (select x.id as src, y.id as dst, {HAM} as dist from codes x, codes y where x.id % 50 = 0 and x.id <> y.id)
-select src, dst, cast(dist as int) as dist, cast(row_number() over (partition by src order by dist, dst) as int) as rank from d where dist <= 14
+select src, dst, cast(dist as int) as dist, cast(row_number() over (partition by src order by dist, dst) as int) as rank from d where dist <= 20
 """)
 def hamming_range(spark, d):
     c = hamming.create(sign_codes(spark, d))
-    return hamming.exact(c.where("id % 50 = 0"), c, DIM, 0, 0, 14)
+    return hamming.exact(c.where("id % 50 = 0"), c, DIM, 0, 0, 20)
 
 
-PLACES = [1, 5, 9, 14, 20, 27, 33, 41, 50, 58]
+#: 6 places, as for a thousand rows or two, probed within 3 bits: the tests hold the recall of the nearest against brute force.
+PLACES, RADIUS = [1, 9, 20, 33, 41, 58], 3
 
 
 @query("ann_probe_topk", f"""
 with {CODES}, d as (select x.id as src, y.id as dst, {HAM} as dist from codes x, codes y where x.id % 50 = 0 and x.id <> y.id
-  and list_sum(list_transform({[p + 1 for p in PLACES]}, lambda i: case when x.b[i] <> y.b[i] then 1 else 0 end)) <= 2)
+  and list_sum(list_transform({[p + 1 for p in PLACES]}, lambda i: case when x.b[i] <> y.b[i] then 1 else 0 end)) <= {RADIUS})
 select src, dst, cast(dist as int) as dist, cast(rank as int) as rank from (select *, row_number() over (partition by src order by dist, dst) as rank from d) where rank <= 10
 """)
 def ann_probe_topk(spark, d):
     c = hamming.create(sign_codes(spark, d))
-    return hamming.bucketed(c.where("id % 50 = 0"), c, DIM, 10, PLACES, 2)
+    return hamming.bucketed(c.where("id % 50 = 0"), c, DIM, 10, PLACES, RADIUS)
 
 
 @query("hbi_exact_topk", f"""
@@ -145,6 +138,17 @@ def hbi_exact_topk(spark, d):
     return hamming.exact(c.where("id % 50 = 0"), c, 32, 8)
 
 
+@query("hbi_mutual_knn", f"""
+with {CODES}, d as (select x.id as src, y.id as dst, list_sum(list_transform(range(1, 33), lambda i: case when x.b[i] <> y.b[i] then 1 else 0 end)) as dist from codes x, codes y where x.id <> y.id),
+h as (select * from (select *, row_number() over (partition by src order by dist, dst) as rank from d) where rank <= 6),
+m as (select a.src, a.dst, least(a.dist, b.dist) as dist from h a join h b on a.src = b.dst and a.dst = b.src), n as (select src from m group by src having count(*) >= 2)
+select src, dst, cast(dist as int) as dist, cast(row_number() over (partition by src order by dist, dst) as int) as rank from m where src in (select src from n) and dst in (select src from n)
+""")
+def hbi_mutual_knn(spark, d):
+    c = sign_codes(spark, d).select("id", F.array(bits.low_bits(F.col("code"), 32)).alias("code"))
+    return setjoin.mutualize(hamming.exact(c, c, 32, 6), 2)
+
+
 @query("hamming_by_vecs", f"""
 with {CODES}, q as (select id, label, list_reverse(b) as b from codes where id % 50 = 0),
 d as (select x.id as src, y.id as dst, {HAM} as dist from q x, codes y)
@@ -171,13 +175,13 @@ def literal_bits(spark, d):
 
 
 @query("mutual_knn", f"""
-with {CODES}, d as (select x.id as src, y.id as dst, {HAM} as dist from codes x, codes y where x.id <> y.id and list_sum(list_transform({[p + 1 for p in PLACES]}, lambda i: case when x.b[i] <> y.b[i] then 1 else 0 end)) <= 1),
+with {CODES}, d as (select x.id as src, y.id as dst, {HAM} as dist from codes x, codes y where x.id <> y.id and list_sum(list_transform({[p + 1 for p in PLACES]}, lambda i: case when x.b[i] <> y.b[i] then 1 else 0 end)) <= {RADIUS}),
 h as (select * from (select *, row_number() over (partition by src order by dist, dst) as rank from d) where rank <= 4)
 select a.src, a.dst, cast(least(a.dist, b.dist) as int) as dist, cast(row_number() over (partition by a.src order by least(a.dist, b.dist), a.dst) as int) as rank from h a join h b on a.src = b.dst and a.dst = b.src
 """)
 def mutual_knn(spark, d):
     c = hamming.create(sign_codes(spark, d))
-    return setjoin.mutualize(hamming.bucketed(c, c, DIM, 4, PLACES, 1))
+    return setjoin.mutualize(hamming.bucketed(c, c, DIM, 4, PLACES, RADIUS))
 
 
 # ---- booleanizer ----------------------------------------------------------------------------------------------------
@@ -249,14 +253,14 @@ def bool_restrict(spark, d):
 # ---- text, selection, set similarity --------------------------------------------------------------------------------
 
 
-@query("doc_df_idf", f"with {RARE} select feature, df, round(ln(n / df), 6) as idf from df, nn where df >= 2")
+@query("doc_df_idf", f"with {WORDS} select feature, df, round(ln(n / df), 6) as idf from df, nn where df >= 2")
 def doc_df_idf(spark, d):
     b = doc_bits(spark, d)
     return selection.document_frequency(b, table(spark, d, "documents").count(), 2).select("feature", "df", r6("idf", "idf"))
 
 
 CONT = f"""
-with {RARE}, lab as (select doc_id as id, quality as label from labels where quality is not null), nl as (select label, count(*) as nx1 from lab group by label),
+with {WORDS}, lab as (select doc_id as id, quality as label from labels where quality is not null), nl as (select label, count(*) as nx1 from lab group by label),
 both_ as (select feature, label, count(*) as n11 from bits join lab using (id) group by all), f as (select feature, sum(n11) as n1x from both_ group by feature),
 t as (select f.feature, nl.label, coalesce(n11, 0)::double as a, n1x::double as r, nx1::double as c, (select count(*) from lab)::double as n from f, nl left join both_ b on b.feature = f.feature and b.label = nl.label),
 e as (select *, r * c / n as e1, r * (n - c) / n as e2, (n - r) * c / n as e3, (n - r) * (n - c) / n as e4 from t)
@@ -265,7 +269,7 @@ e as (select *, r * c / n as e1, r * (n - c) / n as e2, (n - r) * c / n as e3, (
 
 def label_table(spark, d) -> DataFrame:
     lab = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    return selection.contingency(rare_bits(spark, d), lab)
+    return selection.contingency(doc_bits(spark, d), lab)
 
 
 @query("chi2_features", CONT + "select feature, round(max(case when e1 > 0 then pow(a - e1, 2) / e1 else 0 end + case when e2 > 0 then pow(r - a - e2, 2) / e2 else 0 end + case when e3 > 0 then pow(c - a - e3, 2) / e3 else 0 end + case when e4 > 0 then pow(n - r - c + a - e4, 2) / e4 else 0 end), 6) as score from e group by feature")
@@ -291,16 +295,15 @@ def bit_entropy(spark, d):
 
 def _set_query(name: str, expr: str, c: setjoin.Compare) -> None:
     sql = f"""
-with {RARE}, s as (select id, count(*)::double as s from bits group by id),
+with {WORDS}, s as (select id, count(*)::double as s from bits group by id),
 m as (select x.id as src, y.id as dst, count(*)::double as i from bits x join bits y using (feature) where x.id % 50 = 0 and x.id <> y.id group by all),
 d as (select src, dst, round(1 - {expr}, 9) as dist from m join s sa on sa.id = src join s sb on sb.id = dst)
 select src, dst, round(dist, 6) as dist, cast(rank as int) as rank from (select *, row_number() over (partition by src order by dist, dst) as rank from d) where rank <= 5
 """
 
     def run(spark, d):
-        ix = setjoin.create(rare_bits(spark, d))
-        sims = setjoin.similarities(ix.where("id % 50 = 0"), ix, c).select("src", "dst", F.round(1.0 - F.col("sim"), 9).alias("dist"))
-        return setjoin.best(sims, 5).select("src", "dst", r6("dist", "dist"), "rank")
+        ix = setjoin.create(doc_bits(spark, d))
+        return setjoin.search(ix.where("id % 50 = 0"), ix, 5, c, digits=9).select("src", "dst", r6("dist", "dist"), "rank")
 
     query(name, sql)(run)
 
@@ -312,17 +315,17 @@ _set_query("tversky_topk", "i / (i + 1.0 * (sa.s - i) + 0.1 * (sb.s - i))", setj
 
 
 def ranked_index(spark, d) -> DataFrame:
-    """Source and language of a document at rank 0, its rare words at rank 1, weighed by idf."""
+    """Source and language of a document at rank 0, its words at rank 1, weighed by idf."""
     docs = table(spark, d, "documents")
     top = docs.select(F.col("doc_id").alias("id"), F.explode(F.array(F.concat(F.lit("src:"), F.coalesce("source", F.lit(""))), F.concat(F.lit("lang:"), F.coalesce("lang", F.lit(""))))).alias("feature"))
-    b = rare_bits(spark, d)
+    b = doc_bits(spark, d)
     idf = selection.document_frequency(b, docs.count()).select("feature", F.lit(1).alias("rank"), F.col("idf").alias("weight"))
     meta = idf.unionByName(top.select("feature").distinct().select("feature", F.lit(0).alias("rank"), F.lit(1.0).alias("weight")))
     return setjoin.create(top.unionByName(b), meta)
 
 
 RANKED = f"""
-with {RARE}, w as (select feature, ln((select n from nn) / count(*)) as w from bits group by feature),
+with {WORDS}, w as (select feature, ln((select n from nn) / count(*)) as w from bits group by feature),
 ix as (select id, feature, 1 as rank, w from bits join w using (feature) union all select doc_id, 'src:' || coalesce(source, ''), 0, 1.0 from documents union all select doc_id, 'lang:' || coalesce(lang, ''), 0, 1.0 from documents),
 s as (select id, rank, sum(w) as s from ix group by all),
 m as (select x.id as src, y.id as dst, x.rank, sum(x.w) as i from ix x join ix y on x.feature = y.feature where x.id % 50 = 0 and x.id <> y.id group by all),
@@ -332,21 +335,48 @@ p as (select src, dst, m.rank, i / (sa.s + sb.s - i) as sim from m join s sa on
 
 @query("ranked_jaccard_topk", RANKED + ", d as (select src, dst, round(1 - sum(sim * exp(-rank * 0.5)) / (1 + exp(-0.5)), 9) as dist from p group by src, dst) select src, dst, round(dist, 6) as dist, cast(rank as int) as rank from (select *, row_number() over (partition by src order by dist, dst) as rank from d) where rank <= 5")
 def ranked_jaccard_topk(spark, d):
-    ix = ranked_index(spark, d)
-    s = setjoin.similarities(ix.where("id % 50 = 0"), ix, setjoin.Compare(decay=0.5, n_ranks=2)).select("src", "dst", F.round(1.0 - F.col("sim"), 9).alias("dist"))
-    return setjoin.best(s, 5).select("src", "dst", r6("dist", "dist"), "rank")
+    ix = stage(ranked_index(spark, d), "index")
+    return setjoin.search(ix.where("id % 50 = 0"), ix, 5, setjoin.Compare(decay=0.5, n_ranks=2), digits=9).select("src", "dst", r6("dist", "dist"), "rank")
 
 
 @query("rank_filtered_topk", RANKED + ", d as (select src, dst, round(1 - sim * exp(-0.5) / (1 + exp(-0.5)), 9) as dist from p where rank = 1) select src, dst, round(dist, 6) as dist, cast(rank as int) as rank from (select *, row_number() over (partition by src order by dist, dst) as rank from d) where rank <= 5")
 def rank_filtered_topk(spark, d):
-    ix = ranked_index(spark, d)
-    s = setjoin.similarities(ix.where("id % 50 = 0"), ix, setjoin.Compare(rank_filter=1, decay=0.5, n_ranks=2)).select("src", "dst", F.round(1.0 - F.col("sim"), 9).alias("dist"))
-    return setjoin.best(s, 5).select("src", "dst", r6("dist", "dist"), "rank")
+    ix = stage(ranked_index(spark, d), "index")
+    return setjoin.search(ix.where("id % 50 = 0"), ix, 5, setjoin.Compare(rank_filter=1, decay=0.5, n_ranks=2), digits=9).select("src", "dst", r6("dist", "dist"), "rank")
+
+
+BASKETS = "b as (select distinct l_orderkey as id, l_partkey as f from lineitem), s as (select id, count(*)::double as s from b group by id), m as (select x.id as src, y.id as dst, count(*)::double as i from b x join b y using (f) where x.id <> y.id group by all), d as (select src, dst, round(1 - i / (sa.s + sb.s - i), 9) as dist from m join s sa on sa.id = src join s sb on sb.id = dst)"
+
+
+def basket_index(spark, d) -> DataFrame:
+    return setjoin.create(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("feature")))
+
+
+@query("index_neighborhoods", f"with {BASKETS} select src, dst, round(dist, 6) as dist, cast(rank as int) as rank from (select *, row_number() over (partition by src order by dist, dst) as rank from d where dist <= 0.8) where rank <= 3")
+def index_neighborhoods(spark, d):
+    """All rows among themselves: features of baskets are never hot."""
+    return setjoin.best(setjoin.similarities(ix := basket_index(spark, d), ix).select("src", "dst", F.round(1.0 - F.col("sim"), 9).alias("dist")), 3, 0.0, 0.8).select("src", "dst", r6("dist", "dist"), "rank")
 
 
-@query("index_remove_keep", f"with {RARE} select count(distinct id) as size, count(distinct feature) as features, 1::bigint as ranks from bits where id not in (select doc_id from labels where toxic = 1) and id in (select doc_id from labels)")
+@query("index_neighbors", f"with {BASKETS} select src, dst, round(dist, 6) as dist, cast(row_number() over (order by dist, dst) as int) as rank from d where src = 1")
+def index_neighbors(spark, d):
+    return setjoin.neighbors(basket_index(spark, d), 1).select("src", "dst", r6("dist", "dist"), "rank")
+
+
+@query("index_by_vecs", f"""
+with {WORDS}, q as (select distinct id, feature from (select item_id as id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) as feature from benchmark) where length(feature) > 1),
+sq as (select id, count(*)::double as s from q group by id), s as (select id, count(*)::double as s from bits group by id), m as (select x.id as src, y.id as dst, count(*)::double as i from q x join bits y using (feature) group by all),
+d as (select src, dst, round(1 - i / least(sq.s, s.s), 9) as dist from m join sq on sq.id = src join s on s.id = dst)
+select src, dst, round(dist, 6) as dist, cast(rank as int) as rank from (select *, row_number() over (partition by src order by dist, dst) as rank from d) where rank <= 3
+""")
+def index_by_vecs(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 1))).alias("feature"))
+    return setjoin.search(setjoin.create(b), setjoin.create(doc_bits(spark, d)), 3, setjoin.Compare("overlap"), exclude_self=False, digits=9).select("src", "dst", r6("dist", "dist"), "rank")
+
+
+@query("index_remove_keep", f"with {WORDS} select count(distinct id) as size, count(distinct feature) as features, 1::bigint as ranks from bits where id not in (select doc_id from labels where toxic = 1) and id in (select doc_id from labels)")
 def index_remove_keep(spark, d):
-    ix = setjoin.create(rare_bits(spark, d))
+    ix = setjoin.create(doc_bits(spark, d))
     lab = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "toxic")
     return setjoin.describe(setjoin.keep(setjoin.remove(ix, lab.where("toxic = 1")), lab))
 
@@ -421,6 +451,16 @@ def retrieval_mean(spark, d):
     return metrics.retrieval_accuracy(ring(spark, d), sign_codes(spark, d), 30).select(r6("score", "score"))
 
 
+@query("retrieval_least", f"with {CODES}, {RING}, d as (select src, weight, {HAM} as h from ring join codes x on x.id = src join codes y on y.id = dst), n as (select src, min(weight) as s from d where h <= 30 group by src) select round(avg(s), 6) as score from n")
+def retrieval_least(spark, d):
+    return metrics.retrieval_accuracy(ring(spark, d), sign_codes(spark, d), 30, "min").select(r6("score", "score"))
+
+
+@query("retrieval_variance", f"with {CODES}, {RING}, d as (select src, weight, {HAM} as h from ring join codes x on x.id = src join codes y on y.id = dst), a as (select src, var_pop(weight) as v from d group by src), n as (select src, var_pop(weight) as v from d where h <= 30 group by src) select round(avg(case when a.v > 0 then 1 - n.v / a.v else 0 end), 6) as score from n join a using (src)")
+def retrieval_variance(spark, d):
+    return metrics.retrieval_accuracy(ring(spark, d), sign_codes(spark, d), 30, "variance").select(r6("score", "score"))
+
+
 @query("ndcg_at_k", f"""
 with {CODES}, {RING}, g as (select src, dst, weight, row_number() over (partition by src order by {HAM}, dst) as i, row_number() over (partition by src order by weight desc, dst) as j from ring join codes x on x.id = src join codes y on y.id = dst),
 n as (select src, sum(weight / log2(i + 1)) / sum(weight / log2(j + 1)) as s from g group by src) select round(avg(s), 6) as score, count(*) as total_queries from n
@@ -519,7 +559,83 @@ def random_pairs_query(spark, d):
     return random_pairs(vectors(spark, d).select("id"), 2)
 
 
-@query("multiclass_pairs")
+BOTH = "both_ as (select src, dst, weight from ring union all select dst, src, weight from ring)"
+
+
+@query("graph_bipartite", "select distinct vec_id as src, label + 10000000::bigint as dst from embeddings where label is not null")
+def graph_bipartite(spark, d):
+    b = vectors(spark, d).where("label is not null").select("id", F.col("label").alias("feature"))
+    return graph.bipartite_edges(b, 10_000_000)
+
+
+@query("graph_seed_edges", "with r as (select vec_id as id, row_number() over (order by vec_id) - 1 as r, count(*) over () as n from embeddings), p as (select a.id as a, b.id as b from (select *, unnest([1, 7]) as k from r) a join r b on b.r = (a.r + k) % a.n) select distinct least(a, b) as src, greatest(a, b) as dst from p where a <> b")
+def graph_seed_edges(spark, d):
+    ids = numbered(vectors(spark, d).select("id")).select("row", "id")
+    n = ids.count()
+    csr = ids.select("row", F.array((F.col("row") + 1) % n, (F.col("row") + 7) % n).alias("neighbors"))
+    return graph.seed_edges(csr, ids)
+
+
+@query("graph_largest", """
+with recursive v as (select vec_id as id, label from embeddings where label is not null), e as (select a.id as src, a.id + 10 as dst from v a join v b on b.id = a.id + 10 where a.label % 3 = b.label % 3),
+m as (select id, id as c from v union select case when e.src = m.id then e.dst else e.src end, m.c from m join e on e.src = m.id or e.dst = m.id),
+c as (select id, min(c) as c from m group by id), top as (select c from c group by c order by count(*) desc, c limit 1)
+select src, dst from e join c on c.id = src join top using (c)
+""")
+def graph_largest(spark, d):
+    v = vectors(spark, d).where("label is not null").select("id", "label")
+    e = v.select(F.col("id").alias("src"), (F.col("id") + 10).alias("dst"), (F.col("label") % 3).alias("a")).join(v.select(F.col("id").alias("dst"), (F.col("label") % 3).alias("b")), "dst").where("a = b").select("src", "dst")
+    return graph.largest(e, v)
+
+
+@query("graph_rows", f"with {RING}, {BOTH} select src as id, count(*) as n, round(sum(weight), 6) as total, string_agg(dst, ',' order by weight desc, dst) as neighbors from both_ group by src")
+def graph_rows(spark, d):
+    r = graph.adjacency_rows(ring(spark, d))
+    return r.select("id", F.size("neighbors").cast("long").alias("n"), r6(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w), "total"), F.concat_ws(",", F.transform("neighbors", lambda x: x.cast("string"))).alias("neighbors"))
+
+
+@query("graph_pair_adjacency", f"with {RING}, p as (select src, dst, case when weight > 0.4 then 1.0::double else 0.0::double end as weight from ring where src % 3 <> 0 and dst % 3 <> 0) select src, dst, weight from p union all select dst, src, weight from p")
+def graph_pair_adjacency(spark, d):
+    e = ring(spark, d)
+    return graph.pair_adjacency(vectors(spark, d).where("id % 3 <> 0").select("id"), e.where("weight > 0.4"), e.where("weight <= 0.4"))
+
+
+@query("graph_hood_adjacency", f"with {CODES}, d as (select x.id as src, y.id as dst, {HAM} as dist from codes x, codes y where x.id % 50 = 0 and x.id <> y.id) select src, dst, round(1 - dist / 64.0::double, 6) as weight from (select *, row_number() over (partition by src order by dist, dst) as rank from d) where rank <= 4")
+def graph_hood_adjacency(spark, d):
+    c = hamming.create(sign_codes(spark, d))
+    return graph.hood_adjacency(hamming.exact(c.where("id % 50 = 0"), c, DIM, 4), DIM).select("src", "dst", r6("weight", "weight"))
+
+
+@query("graph_edge_weight", f"with {RING}, {BOTH}, p as (select id as src, id + k as dst from (select id, unnest([-2, 1, 5]) as k from v)) select p.src, p.dst, round(coalesce(weight, 0), 6) as weight from p left join both_ b on b.src = p.src and b.dst = p.dst")
+def graph_edge_weight(spark, d):
+    p = vectors(spark, d).select(F.col("id").alias("src"), F.explode(F.array(*[F.col("id") + k for k in (-2, 1, 5)])).alias("dst"))
+    return graph.edge_weight(ring(spark, d), p).select("src", "dst", r6("weight", "weight"))
+
+
+@query("graph_pooled", f"with {RING}, w as (select src, dst, weight as dist from ring union all select dst, src, weight * (1 + src % 3) / 2.0::double from ring) select least(src, dst) as src, greatest(src, dst) as dst, round(max(dist), 6) as low, round(min(dist), 6) as high from w group by 1, 2")
+def graph_pooled(spark, d):
+    e = ring(spark, d).withColumnRenamed("weight", "dist")
+    w = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("dist") * (1 + F.col("src") % 3) / 2.0).alias("dist")))
+    low, high = graph.pooled(w, "min").withColumnRenamed("dist", "low"), graph.pooled(w, "max").withColumnRenamed("dist", "high")
+    return low.join(high, ["src", "dst"]).select("src", "dst", r6("low", "low"), r6("high", "high"))
+
+
+@query("blend_distances", "select vec_id as id, round(1 - ((label % 4) / 4.0::double * 1.75 + (vec_id % 10) / 10.0::double * 0.125) / 1.875, 6) as two, round(1 - ((label % 4) / 4.0::double + (vec_id % 10) / 10.0::double * 0.5) / 1.5, 6) as one from embeddings where label is not null")
+def blend_distances(spark, d):
+    v = vectors(spark, d).where("label is not null")
+    category, seen = (F.col("label") % 4) / 4.0, (F.col("id") % 10) / 10.0
+    return v.select("id", r6(similarity.blend(category, seen, [1.0, 0.5, 0.25]), "two"), r6(similarity.blend(category, seen, [1.0]), "one"))
+
+
+@query("multiclass_pairs", """
+with l as (select vec_id as id, label, ('0x' || substr(md5('classes:' || vec_id), 1, 8))::bigint as h from embeddings where label is not null),
+a as (select id as a, label, row_number() over (partition by label order by h, id) as r from l),
+c as (select label, row_number() over (order by label) - 1 as i, count(*) over () as n from (select distinct label from l)),
+pos as (select distinct least(l.id, a) as src, greatest(l.id, a) as dst from l join a on a.label = l.label and r <= 3 where l.id <> a),
+pick as (select l.id, j + 1 as r, (c.i + ('0x' || substr(md5('classes:' || l.id || ':' || j), 1, 8))::bigint % (c.n - 1) + 1) % c.n as i from l join c using (label), range(2) t(j)),
+neg as (select distinct least(p.id, a) as src, greatest(p.id, a) as dst from pick p join c on c.i = p.i join a on a.label = c.label and a.r = p.r)
+select src, dst, true as same from pos union all select src, dst, false from neg
+""")
 def multiclass_pairs_query(spark, d):
     pos, neg = multiclass_pairs(vectors(spark, d), 3, 2)
     return pos.withColumn("same", F.lit(True)).unionByName(neg.withColumn("same", F.lit(False)))
@@ -534,7 +650,7 @@ def spanning_tree(spark, d):
 @query("graph_adjacency")
 def graph_adjacency(spark, d):
     c = hamming.create(sign_codes(spark, d))
-    h = hamming.bucketed(c, c, DIM, 8, PLACES, 1).withColumn("dist", F.col("dist") / float(DIM))
+    h = hamming.bucketed(c, c, DIM, 8, PLACES, RADIUS).withColumn("dist", F.col("dist") / float(DIM))
     e = graph.adjacency(c.select("id"), graph.Adjacency(knn=5, knn_mode="sigma", random_pairs=1), stage(h, "hoods"), distances=lambda p: hamming.pair_distances(c, p, DIM))
     return e.select("src", "dst", r6("weight", "weight"))
 
@@ -542,10 +658,18 @@ def graph_adjacency(spark, d):
 # ---- embeddings, models, clusters -----------------------------------------------------------------------------------
 
 
-@query("simhash_codes")
+SIM_BITS = 16
+
+
+@query("simhash_codes", f"""
+with docs as (select doc_id as id, lower(coalesce(text, '')) as t from documents),
+b as (select distinct id, f from (select id, unnest(regexp_extract_all(t, '[a-z]+')) as f from docs) where length(f) > 1),
+s as (select f, bit, case when ('0x' || substr(md5('simhash:' || f || ':' || bit), 1, 8))::bigint % 2 = 0 then 1 else -1 end as s from (select distinct f from b), range({SIM_BITS}) r(bit)),
+v as (select id, bit, sum(s) as v from b join s using (f) group by all)
+select id, cast(sum(case when v >= 0 then (1::bigint << bit) else 0 end) as bigint) as w0 from v group by id
+""")
 def simhash_codes(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.explode(text.words(F.col("text"))).alias("feature"))
-    return simhash.encode(setjoin.create(b), 64).select("id", F.col("code")[0].alias("w0"), F.col("code")[1].alias("w1"))
+    return simhash.encode(setjoin.create(doc_bits(spark, d)), SIM_BITS).select("id", F.col("code")[0].cast("long").alias("w0"))
 
 
 @query("binarize_itq")

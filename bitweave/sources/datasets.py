@@ -14,8 +14,12 @@ def binary_matrix(spark: SparkSession, path: str, n_features: int, most: int | N
     lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_m", F.monotonically_increasing_id())
     t = F.split(F.trim("value"), r"\s+")
     on = F.filter(F.transform(F.slice(t, 1, n_features), lambda x, i: F.when(x == "1", i.cast("long"))), lambda i: i.isNotNull())
-    rows = lines.select(F.col("_m").alias("id"), on.alias("features"), F.element_at(t, n_features + 1).cast("int").alias("label"))
-    return rows.orderBy("id").limit(most) if most else rows
+    rows = lines.select("_m", on.alias("features"), F.element_at(t, n_features + 1).cast("int").alias("label"))
+    from bitweave.operators.pairs import numbered
+
+    nums = numbered(rows, "_m").select(F.col("id").alias("_m"), F.col("row").alias("id"))  # dense, whatever the splits
+    rows = rows.join(nums, "_m").select("id", "features", "label")
+    return rows.where(F.col("id") < most) if most else rows
 
 
 def bits(rows: DataFrame, n_features: int) -> DataFrame:
@@ -40,7 +44,11 @@ def text_folders(spark: SparkSession, path: str, labels: dict[str, int] | None =
         names = [r["category"] for r in d.select("category").distinct().orderBy("category").collect()]
         label = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.lit(i))])[F.col("category")] if names else F.lit(0)
     text = clean_posting(F.col("value")) if clean else F.col("value")
-    return d.select((F.row_number().over(Window.orderBy("_o", "path")) - 1).cast("long").alias("id"), "category", label.cast("int").alias("label"), text.alias("text"), "path")
+    from bitweave.operators.pairs import numbered
+
+    # only keys are numbered, never texts in one task; the hash comes first, so that its order is that of the number
+    nums = numbered(d.select(F.struct("_o", "path").alias("_k")), "_k").select(F.col("id.path").alias("path"), F.col("row").alias("id"))
+    return d.join(nums, "path").select("id", "category", label.cast("int").alias("label"), text.alias("text"), "path")
 
 
 def split(rows: DataFrame, ratio: float, validation: float = 0.0, order: str = "id") -> DataFrame:
@@ -70,4 +78,4 @@ def classes_index(rows: DataFrame, id: str = "id", name: str = "class") -> DataF
     """(id, feature): dense class numbers in order of each class's first id."""
     first = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(id).alias("_f"))
     nums = first.withColumn("feature", (F.row_number().over(Window.orderBy("_f")) - 1).cast("long")).drop("_f")
-    return rows.join(F.broadcast(nums), name).select(id, "feature")
+    return rows.join(nums, name).select(id, "feature")
