@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,17 +48,21 @@ from bitweave.llm.held import small_batches
 from bitweave.llm.shingles import fingerprints, minhash, mix, narrow
 from bitweave.llm.word_encoder import portions, ragged
 from bitweave.operators.components import connected_components
-from bitweave.session import stage
+from bitweave.session import Staging, stage, unshuffled
 
 K, CONTAINMENT, NEAR, STEP, VOTES, MISS, TILE = 3, 0.6, 1.3, 1.14, 3, 1e-2, 256
 #: A text of at most WHOLE shingles is hashed whole; of others BOTTOM hashes, NEED of which a contained text shares (0.98).
 WHOLE, BOTTOM, NEED = 64, 16, 6
 #: Smaller and larger texts of a tile; the most bits of the filter that larger texts' shingles pass.
 SMALLER, LARGER, FILTER_BITS = 2048, 1024, 30
+#: The most keys of a tile's smaller texts that are sent to a larger text to see whether it has enough of them.
+UNION = 128
 _BAND = 7  # low bits of a key that hold its band
 PORTION = 1 << 19  # characters worked off at once
 _LOW = (1 << 31) - 1
 _NONE = np.zeros(0, "<u4")
+_MET = pa.schema([("a", pa.int64()), ("home", pa.int64()), ("others", pa.list_(pa.int64())), ("votes", pa.list_(pa.int16()))])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("votes", pa.int32()), ("tile", pa.int64())])
 
 
 def jaccard_at(containment: float, x: float) -> float:
@@ -150,7 +155,8 @@ def filter_words(keys: DataFrame, n: int, most: int = FILTER_BITS, width: int =
     2**most bits; beyond that more passes, at no loss."""
     bits = min(most, max(12, math.ceil(math.log2(16 * n + 1))))
     places = F.explode(F.array(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftright("key", width - bits)))
-    got = keys.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
+    with unshuffled(keys.sparkSession):
+        got = keys.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
     words = np.zeros(1 << (bits - 6), np.int64)
     words[got["w"].to_numpy()] = got["b"].to_numpy()
     return bits, words.view(np.uint64)
@@ -203,9 +209,10 @@ def _narrowed(inner: tuple, heads: tuple):
 
 
 def _meet(same: int, near: float, step: float, flush: int = 1 << 21):
-    """Rows (home, key, side, r, s) sorted by home, key, r give (home, a, b, votes): how many buckets of the home two share."""
+    """Rows (home, key, side, r, s) sorted by home, key, r give (a, home, others, votes): each member's larger ones that it
+    shares buckets of the home with, as steps in ascending order from a, and how many of them."""
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pairs(pdf: pd.DataFrame) -> pa.RecordBatch:
         home, key, side, s = (pdf[c].to_numpy() for c in ("home", "key", "side", "s"))
         who, r = pd.factorize(pdf["r"].to_numpy(), sort=True)
         p = np.floor(np.log(s) / math.log(step) + 1e-9)
@@ -224,12 +231,20 @@ def _meet(same: int, near: float, step: float, flush: int = 1 << 21):
         got, votes = np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         homes = pd.unique(home)
         low = (1 << 21) - 1
-        return pd.DataFrame({"home": homes[got >> 42], "a": r[got >> 21 & low], "b": r[got & low], "votes": votes}).query("a != b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mixed = (got >> 21 & low) != (got & low)
+        got, votes = got[mixed], votes[mixed]
+        at, a, b = got >> 42, r[got >> 21 & low], r[got & low]
+        lists = np.flatnonzero(np.r_[True, np.diff(got >> 21) != 0][: len(got)])  # where a member's list begins
+        steps = np.diff(b, prepend=0)
+        steps[lists] = b[lists] - a[lists]
+        offsets = pa.array(np.r_[lists, len(got)].astype(np.int32))
+        flat = [pa.array(steps, pa.int64()), pa.array(votes.astype(np.int16), pa.int16())]
+        return pa.record_batch([pa.array(a[lists], pa.int64()), pa.array(homes[at[lists]], pa.int64()), *(pa.ListArray.from_arrays(offsets, x) for x in flat)], _MET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
         rows = 0
-        for pdf in batches:
+        for pdf in (x.to_pandas() for x in batches):
             while len(pdf):
                 last = pdf["home"].iloc[-1]
                 at = int(np.flatnonzero(np.r_[True, (pdf["home"] != last).to_numpy()])[-1])  # rows before the last home
@@ -249,6 +264,45 @@ def _meet(same: int, near: float, step: float, flush: int = 1 << 21):
     return run
 
 
+def _counted(least: int, flush: int = 1 << 20):
+    """Of the lists of :func:`_meet`, sorted by a, the pairs with ``least`` votes in all: (a, b, votes, tile), tile the home that has most of them."""
+
+    def merged(rows: pa.Table) -> pd.DataFrame:
+        a, home = (rows[c].to_numpy() for c in ("a", "home"))
+        steps, votes = (rows[c].combine_chunks() for c in ("others", "votes"))
+        n = steps.value_lengths().to_numpy()
+        ends, steps = np.cumsum(n), steps.flatten().to_numpy()
+        total = np.cumsum(steps)
+        b = total - np.repeat(total[ends - n] - steps[ends - n], n) + np.repeat(a, n)
+        a, home, votes = np.repeat(a, n), np.repeat(home, n), votes.flatten().to_numpy().astype(np.int64)
+        order = np.lexsort((home, votes, b, a))
+        a, b, home, votes = a[order], b[order], home[order], votes[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        got = pd.DataFrame({"a": a[first], "b": b[first], "votes": np.add.reduceat(votes, first).astype(np.int32), "tile": home[np.r_[first[1:], len(a)] - 1]})
+        return got[got["votes"] >= least]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        pairs = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = batch["a"].to_numpy()
+            at = int(np.searchsorted(ids, ids[-1]))  # rows before the last a
+            if not at and held and held[-1]["a"][-1].as_py() != ids[0]:
+                at = -1
+            if pairs >= flush and at:
+                whole = pa.Table.from_batches([*held, *([batch.slice(0, at)] if at > 0 else [])])
+                yield from pa.Table.from_pandas(merged(whole), _PAIRS, preserve_index=False).to_batches()
+                batch, held, pairs = batch.slice(max(at, 0)), [], 0
+            held.append(batch)
+            pairs += len(batch["others"].flatten())
+        if held:
+            yield from pa.Table.from_pandas(merged(pa.Table.from_batches(held)), _PAIRS, preserve_index=False).to_batches()
+
+    return run
+
+
 def candidates(classes: DataFrame, same: int, near: float = NEAR, step: float = STEP, votes: int = VOTES, tile: int = TILE) -> DataFrame:
     """(a, b, votes, tile), a < b: pairs of classes (rep, size, keys) whose sizes are within ``near`` and that share at
     least ``votes`` buckets, how many they share, and a tile that holds both: the home in which they share most."""
@@ -261,9 +315,9 @@ def candidates(classes: DataFrame, same: int, near: float = NEAR, step: float =
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     home = F.xxhash64("hub", "parts", F.least("chunk", "other"), F.greatest("chunk", "other"))
     met = met.select(home.alias("home"), "key", F.signum(F.col("other") - F.col("chunk")).cast("int").alias("side"), "r", "s")
-    found = met.repartition("home").sortWithinPartitions("home", "key", "r").mapInPandas(_meet(same, near, step), "home long, a long, b long, votes int")
-    best = found.groupBy("a", "b").agg(F.sum("votes").cast("int").alias("votes"), F.max(F.struct("votes", "home")).alias("best"))
-    return best.where(F.col("votes") >= votes).select("a", "b", "votes", F.col("best.home").alias("tile"))
+    found = met.repartition("home").sortWithinPartitions("home", "key", "r").mapInArrow(_meet(same, near, step), "a long, home long, others array<long>, votes array<short>")
+    # a pair meets in many homes: lists of steps take few bytes a pair, rows of pairs many
+    return found.repartition("a").sortWithinPartitions("a").mapInArrow(_counted(votes), "a long, b long, votes int, tile long")
 
 
 def _settle(edges: list[tuple[int, int]]) -> dict[int, int]:
@@ -403,8 +457,17 @@ def _inside(near: float, whole: int, block: int = 256):
     return run
 
 
-def contained(d: DataFrame, classes: DataFrame, k: int, containment: float, near: float, whole: int, bottom: int, need: int, smaller: int = SMALLER, larger: int = LARGER, most: int = FILTER_BITS) -> DataFrame:
+def contained(d: DataFrame, classes: DataFrame, k: int, containment: float, near: float, whole: int, bottom: int, need: int, smaller: int = SMALLER, larger: int = LARGER, most: int = FILTER_BITS, union: int = UNION) -> DataFrame:
     """(rep, links, containers, container), or (a, b, tile) still to be verified, of pairs whose sizes differ by more than the factor ``near``."""
+    spark = d.sparkSession
+    with Staging(spark) as own:
+        found = _contained(d, classes, k, containment, near, whole, bottom, need, smaller, larger, most, union)
+    found = stage(found, "inside")
+    own.sweep(found)
+    return found
+
+
+def _contained(d: DataFrame, classes: DataFrame, k: int, containment: float, near: float, whole: int, bottom: int, need: int, smaller: int, larger: int, most: int, union: int) -> DataFrame:
     spark = d.sparkSession
     own = classes.where("size > 0").select(F.col("rep").alias("r"), F.col("size").cast("int").alias("s"), "sketch")
     keys = own.select("r", "s", F.explode("sketch").alias("key"))
@@ -419,26 +482,34 @@ def contained(d: DataFrame, classes: DataFrame, k: int, containment: float, near
     least = F.when(F.col("s") <= whole, F.ceil(F.col("s") * containment - 1e-9)).otherwise(need).cast("int")
     first = shared.withColumn("need", least).withColumn("take", F.size("ks") - F.col("need") + 1).where("take > 0")
     a = stage(first.select("r", "s", "need", F.posexplode(F.slice("ks", F.lit(1), F.col("take"))).alias("pos", "x"), F.transform("ks", lambda x: x["key"].bitwiseAND(F.lit(_LOW)).cast("int")).alias("keys")).select("r", "s", "need", "pos", F.col("x.key").alias("key"), F.col("x.n").alias("n"), "keys"), "inner")
-    wanted = stage(a.groupBy("key").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("na"), F.min("s").alias("least")), "keys")
-    na, nb = F.ceil(F.col("na") / smaller).cast("int"), F.ceil(F.col("n") / larger).cast("int")
-    plan = wanted.select("key", "least", na.alias("na"), nb.alias("nb"))
+    # what the smaller texts of a key have in all, where that is short, and the least that one of them needs
+    na, nb = F.ceil(F.count(F.lit(1)) / smaller).cast("int"), F.ceil(F.first("n") / larger).cast("int")
+    counts = a.groupBy("key").agg(F.min("s").alias("least"), F.min("need").alias("fewest"), na.alias("na"), nb.alias("nb"), F.sum(F.size("keys")).alias("held"))
+    short = a.join(counts.where(F.col("held") <= union).select("key"), "key").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("every"))
+    plan = stage(counts.drop("held").join(short, "key", "left"), "keys")
+    wanted = plan.select("key")
     cell = lambda x, y: F.xxhash64("key", x, y)
     none = F.lit(0).alias
-    left = a.drop("n").join(plan, "key").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    left = left.select(cell(F.pmod(F.hash("r"), F.col("na")), F.col("j")).alias("tile"), none("side"), "r", "s", "pos", "need", "keys")
     # larger texts go along with the keys that smaller ones have, no others
     inner = a.select(F.explode(F.col("keys").cast("array<long>")).alias("key")).distinct()
     filters = []
-    for ks, width in ((inner, 31), (wanted.select("key"), 48)):
-        bits, words = filter_words(ks, ks.count(), min(most, width), width)
+    for ks, width in ((inner, 31), (wanted, 48)):
+        with unshuffled(spark):
+            n = ks.count()
+        bits, words = filter_words(ks, n, min(most, width), width)
         filters.append((bits, spark.sparkContext.broadcast(words)))
     b = stage(hits.mapInPandas(_narrowed(*filters), "id long, s int, keys array<int>, first array<long>"), "outer")
-    # which tiles a text goes to is found without its keys, which follow last
-    slim = b.select(F.col("id").alias("r"), "s", F.explode("first").alias("key")).join(plan, "key").where(F.col("s") > F.lit(near) * F.col("least"))
-    slim = slim.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).select(cell(F.col("j"), F.pmod(F.hash("r"), F.col("nb"))).alias("tile"), "r")
-    right = slim.join(b.select(F.col("id").alias("r"), "s", "keys").hint("merge"), "r").select("tile", F.lit(1).alias("side"), "r", "s", none("pos"), none("need"), "keys")
+    # which tiles a text goes to is found without its keys; then it goes along with those of the tile, and only if they suffice
+    slim = b.where(F.size("keys") > 0).select(F.col("id").alias("r"), "s", F.size("keys").alias("has"), F.explode("first").alias("key")).join(plan.select("key", "least", "fewest", "every", "na", "nb"), "key")
+    slim = slim.where((F.col("s") > F.lit(near) * F.col("least")) & (F.col("has") >= F.col("fewest"))).select("r", "key", "fewest", "every", "na", "nb")
+    fitting = slim.join(b.select(F.col("id").alias("r"), "s", "keys").hint("merge"), "r").withColumn("keys", F.when(F.col("every").isNull(), F.col("keys")).otherwise(F.array_intersect("keys", "every")))
+    fitting = stage(fitting.where(F.size("keys") >= F.col("fewest")).select("key", "r", "s", "keys", "na", "nb"), "larger")
+    right = fitting.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).select(cell(F.col("j"), F.pmod(F.hash("r"), F.col("nb"))).alias("tile"), F.lit(1).alias("side"), "r", "s", none("pos"), none("need"), "keys")
+    # smaller texts go where larger ones do
+    left = a.join(fitting.select("key", "na", "nb").distinct(), "key").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    left = left.select(cell(F.pmod(F.hash("r"), F.col("na")), F.col("j")).alias("tile"), none("side"), "r", "s", "pos", "need", "keys")
     rows = left.unionByName(right).repartition("tile").sortWithinPartitions("tile", "side")
-    return stage(rows.mapInPandas(_inside(near, whole), "rep long, links long, containers long, container long, a long, b long, tile long"), "inside")
+    return rows.mapInPandas(_inside(near, whole), "rep long, links long, containers long, container long, a long, b long, tile long")
 
 
 # ---- all of it ------------------------------------------------------------------------------------------------------

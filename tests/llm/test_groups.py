@@ -157,6 +157,49 @@ def test_all_of_a_bucket_meet(spark):
         assert got == {(a, b): 3 for a in range(70) for b in range(a + 1, 70)}
 
 
+def test_pairs_travel_as_lists(spark):
+    """A member of a bucket gives one row, not one for each pair; votes of many homes add up, whatever the batches."""
+    key = lambda band, x: x << 7 | band
+    met = spark.createDataFrame([(5, key(b, 7), 0, 10 * i, 100) for b in range(3) for i in range(40)], "home long, key long, side int, r long, s int").coalesce(1).sortWithinPartitions("home", "key", "r")
+    rows = met.mapInArrow(near_dedup._meet(4, 1.3, 1.14), "a long, home long, others array<long>, votes array<short>").collect()
+    assert sorted(r.a for r in rows) == [10 * i for i in range(39)] and all(r.others == [10] * (39 - r.a // 10) and r.votes == [3] * len(r.others) for r in rows)
+    rng = random.Random(2)
+    lists, want = [], {}
+    for home in range(30):
+        for a in rng.sample(range(60), 20):
+            others = sorted(rng.sample(range(a + 1, 90), 9))
+            votes = [rng.randint(1, 2) for _ in others]
+            lists.append((a, home, [y - x for x, y in zip([a, *others], others)], votes))
+            for b, v in zip(others, votes):
+                want.setdefault((a, b), []).append((v, home))
+    want = {p: (sum(v for v, _ in x), max(x)[1]) for p, x in want.items() if sum(v for v, _ in x) >= 3}
+    for batch in (1, 7, 1000):
+        table = near_dedup.pa.table(list(zip(*sorted(lists))), ["a", "home", "others", "votes"]).cast(near_dedup._MET)
+        got = [r for x in near_dedup._counted(3, flush=50)(iter(table.to_batches(batch))) for r in x.to_pylist()]
+        assert {(r["a"], r["b"]): (r["votes"], r["tile"]) for r in got} == want and len(got) == len(want)
+
+
+def test_larger_texts_go_only_where_they_have_enough(spark, monkeypatch):
+    """Of a larger text that shares a few shingles with a smaller one nothing is sent to a tile, of one that holds it only those; what is no use any more is deleted."""
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    small = [words(30) for _ in range(3)]
+    texts = [*small, small[0] + words(200), *(x[:6] + small[1][8 * i : 8 * i + 6] + words(200) for i, x in enumerate(small))]
+    seen, real = {}, near_dedup.stage
+
+    def stage(df, name):
+        out = real(df, name)
+        seen[name] = out.inputFiles(), out.collect()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", stage)
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")).collect()}
+    assert [got[i].n_containers for i in range(7)] == [1, 0, 0, 0, 0, 0, 0] and got[0].container_id == 3 and got[3].n_links == 1
+    assert {r.r for r in seen["larger"][1]} == {3} and all(len(r["keys"]) == 28 for r in seen["larger"][1])
+    there = lambda name: [f for f in seen[name][0] if os.path.exists(re.sub("^file:/+", "/", f))]
+    assert not any(map(there, ["hits", "inner", "keys", "outer", "larger"])) and there("inside") and there("classes")
+
+
 def test_bottom_sketch():
     rng = np.random.default_rng(8)
     n = np.array([5, 0, 64, 65, 1000, 30_000])
