@@ -23,9 +23,10 @@ Links of the first kind give components, the groups of near-copies; of each one
 are containment: a short text in many long ones would join all of them to one group, so they are counted and named, but
 group nothing.
 
-Results of each row: class_id (smallest id of equal text), n_copies, n_links (links of the class to other texts, of both
-kinds), n_containers and container_id (larger texts that hold it by links of the second kind: number, smallest class),
-component_id (smallest id reachable by links of the first kind), kept (doc_id = component_id).
+Results of each row: class_id (the group of near-copies it is in: smallest id reachable by links of the first kind),
+copy_id (smallest id of equal text), n_copies (rows of equal text), n_links (links of that text to other texts, of both
+kinds), n_containers and container_id (larger texts that hold it by links of the second kind: number, smallest copy_id),
+component_id (the same as class_id), kept (doc_id = class_id).
 
 Nulls: a null text is a text of its own that links with nothing, as do empty texts and texts without a word, but equal
 ones among those are copies if not null and not empty. A null id takes part in no link. Ids are taken to be unique;
@@ -518,7 +519,7 @@ def _contained(d: DataFrame, classes: DataFrame, k: int, containment: float, nea
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, containment: float = CONTAINMENT, near: float = NEAR, step: float = STEP, votes: int = VOTES, miss: float = MISS, whole: int = WHOLE, bottom: int = BOTTOM, need: int = NEED, tile: int = TILE
 ) -> DataFrame:
-    """doc_id, class_id, n_copies, n_links, n_containers, container_id, component_id, kept of each row."""
+    """doc_id, class_id, copy_id, n_copies, n_links, n_containers, container_id, component_id, kept of each row."""
     same = bands_for(jaccard_at(containment, min(step, near)), miss, votes)
     across = max(same, bands_for(jaccard_at(containment, near), miss, votes))
     d = small_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
@@ -551,7 +552,8 @@ def near_duplicates(
     out = d.select("id", h.alias("h")).join(about, "h")
     return out.select(
         F.col("id").alias(key),
-        F.col("rep").alias("class_id"),
+        F.coalesce("component", "rep").alias("class_id"),
+        F.col("rep").alias("copy_id"),
         "n_copies",
         F.coalesce("n_links", zero).alias("n_links"),
         F.coalesce("n_containers", zero).alias("n_containers"),

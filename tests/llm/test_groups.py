@@ -127,6 +127,17 @@ def test_near_copies_group_and_others_stay(spark, odd_documents):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_class_id_is_the_group_of_near_copies(spark):
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    base, other = words(150), words(150)
+    near = [*base[:70], "changed", *base[71:]]
+    texts = [other, base, base, near, words(150), near]
+    d = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.copy_id, r.n_copies, r.kept) for r in near_dedup.near_duplicates(d).collect()}
+    assert got == {0: (0, 0, 1, True), 1: (1, 1, 2, True), 2: (1, 1, 2, False), 3: (1, 3, 2, False), 4: (4, 4, 1, True), 5: (1, 3, 2, False)}
+
+
 def test_verify_matches_sets_and_bands(spark):
     rng = np.random.default_rng(3)
     sets = {i: np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype("<u4") for i in range(30)}
