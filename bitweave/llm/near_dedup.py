@@ -28,6 +28,9 @@ copy_id (smallest id of equal text), n_copies (rows of equal text), n_links (lin
 kinds), n_containers and container_id (larger texts that hold it by links of the second kind: number, smallest copy_id),
 component_id (the same as class_id), kept (doc_id = class_id).
 
+Where only groups are asked for (:func:`groups`), links of the second kind are not looked for, and of the first kind only as
+many are named as join a group: no table of pairs is written.
+
 Nulls: a null text is a text of its own that links with nothing, as do empty texts and texts without a word, but equal
 ones among those are copies if not null and not empty. A null id takes part in no link. Ids are taken to be unique;
 repeated rows are copies of each other and all of them are ``kept`` if one is. Very long texts are compared whole. Ties:
@@ -42,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitweave.llm.held import small_batches
@@ -513,19 +516,179 @@ def _contained(d: DataFrame, classes: DataFrame, k: int, containment: float, nea
     return rows.mapInPandas(_inside(near, whole), "rep long, links long, containers long, container long, a long, b long, tile long")
 
 
+# ---- groups without their pairs -------------------------------------------------------------------------------------
+
+
+def _joining(containment: float, near: float, step: float, same: int, bands: int, votes: int, room: int = 1 << 24, block: int = 1 << 20):
+    """Streams rows sorted by home: members (side: 1, 2 or both, which meet the other side) with their label, keys, those of
+    most texts first, and set. Gives pairs (a, b) that hold, only such as join two labels that weren't joined here before."""
+
+    def pairs(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of places within each run."""
+        left = np.repeat(length, length) - 1 - ragged(np.zeros(len(length), np.int64), length)
+        at = ragged(start, length)
+        return np.repeat(at, left), ragged(at + 1, left)
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, s, side = (pdf[c].to_numpy() for c in ("r", "s", "side"))
+        node, labels = pd.factorize(pdf["label"])
+        home = pd.factorize(pdf["home"])[0]
+        n = pdf["keys"].map(len).to_numpy()
+        flat, who = np.concatenate(pdf["keys"].to_numpy()), np.repeat(np.arange(len(n)), n)
+        table = np.zeros((len(n), bands), np.int64)
+        table[who, flat & ((1 << _BAND) - 1)] = flat
+        sets = [np.frombuffer(x, "<u4") for x in pdf["set"]]
+        p = np.floor(np.log(s) / math.log(step) + 1e-9)
+        parent, root, out = list(range(len(labels))), np.arange(len(labels)), []
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            v = np.zeros(len(a), np.int64)
+            for lo in range(0, len(a), 1 << 14):
+                x, y = a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]
+                eq = (table[x] == table[y]) & (table[x] != 0)
+                v[lo : lo + (1 << 14)] = eq[:, :same].sum(1) + eq[:, same:].sum(1) * (p[x] != p[y])
+            return v
+
+        # a pair that shares ``votes`` keys shares one besides the votes - 1 of each that most texts have
+        use = np.flatnonzero(ragged(np.zeros(len(n), np.int64), n) >= votes - 1)
+        use = use[np.lexsort((flat[use], home[who[use]]))]
+        member, key = who[use], flat[use]
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (home[member[1:]] != home[member[:-1]])][: len(key)])
+        length = np.diff(np.r_[start, len(key)])
+        order = np.argsort(length, kind="stable")
+        start, length = (x[order][length[order] > 1] for x in (start, length))
+        part = np.cumsum(length * (length - 1) // 2) // block
+        for one in np.split(np.arange(len(start)), np.flatnonzero(np.diff(part)) + 1):
+            if not len(one):
+                continue
+            of = np.repeat(np.arange(len(one)), length[one])
+            own = root[node[member[ragged(start[one], length[one])]]]
+            several = np.bincount(of, own != own[np.r_[0, np.cumsum(length[one])[:-1]]][of]) > 0
+            i, j = pairs(start[one[several]], length[one[several]])
+            a, b = member[i], member[j]
+            ok = (root[node[a]] != root[node[b]]) & (side[a] | side[b] == 3) & (np.maximum(s[a], s[b]) <= near * np.minimum(s[a], s[b]))
+            a, b = np.divmod(np.unique(np.minimum(a, b)[ok] * len(n) + np.maximum(a, b)[ok]), len(n))
+            v = shared(a, b)
+            best = np.argsort(-v, kind="stable")[: np.count_nonzero(v >= votes)]
+            a, b = a[best], b[best]
+            while len(a):
+                for x, y in zip(a[:4096].tolist(), b[:4096].tolist()):
+                    u, w = find(node[x]), find(node[y])
+                    if u == w:
+                        continue
+                    small, large = sorted((sets[x], sets[y]), key=len)
+                    at = large.searchsorted(small)
+                    at[at == len(large)] = 0
+                    if np.count_nonzero(large[at] == small) >= containment * len(small):
+                        parent[w] = u
+                        out.append((r[x], r[y]))
+                root = np.array([find(x) for x in range(len(parent))])
+                ok = root[node[a[4096:]]] != root[node[b[4096:]]]
+                a, b = a[4096:][ok], b[4096:][ok]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            at = int((pdf["home"] != pdf["home"].iloc[-1]).sum())  # rows before the last home
+            if size >= room and (at or held[-1]["home"].iloc[-1] != pdf["home"].iloc[0]):
+                yield settle(pd.concat([*held, pdf.iloc[:at]], ignore_index=True))
+                held, size, pdf = [], 0, pdf.iloc[at:]
+            held.append(pdf)
+            size += int(pdf["set"].map(len).sum()) + 2000 * len(pdf)
+        if held:
+            yield settle(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def joining(classes: DataFrame, d: DataFrame, k: int, containment: float, same: int, bands: int, near: float = NEAR, step: float = STEP, votes: int = VOTES, tile: int = TILE) -> DataFrame:
+    """(a, b) of links that join the groups in which all links of sizes within ``near`` would join the classes (rep, size, keys).
+
+    The members of a home get together with their sets, so that no pair leaves it but one that joins two groups. A bucket
+    above ``tile`` classes is first cut into chunks, each with the bucket's smallest member, that meet themselves only; then
+    all whose group isn't the bucket's largest meet all of it, in tiles. A pair of one group has nothing to add to it."""
+    rows = classes.where("size > 0").select(F.col("rep").alias("r"), F.col("size").cast("int").alias("s"), F.explode("keys").alias("key"))
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ks = F.sort_array(F.collect_list(F.struct("n", "key")), asc=False)
+    own = rows.join(several, "key").groupBy("r", "s").agg(ks.alias("ks")).where(F.size("ks") >= votes)
+    own = stage(own.select("r", "s", F.transform("ks", lambda x: x["key"]).alias("keys")), "shared")
+    chunks = lambda n: F.when(n <= tile, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(n / tile)))).cast("int")
+    found = own.select("r", F.explode(F.slice("keys", F.lit(votes), F.size("keys"))).alias("key"))
+    buckets = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("hub")).where("n > 1")
+    found = stage(found.join(buckets, "key").select("r", "key", "hub", chunks(F.col("n")).alias("parts")), "buckets")
+    wanted = stage(found.select(F.col("r").alias("id")).distinct(), "wanted")
+    sets = _only(d, "id", wanted, wanted.count()).join(wanted.hint("merge"), "id").mapInPandas(_sets(k), "id long, set binary")
+    members = stage(own.join(sets.withColumnRenamed("id", "r").hint("merge"), "r"), "members")
+
+    def meet(places: DataFrame) -> DataFrame:
+        at = places.distinct().join(members.hint("merge"), "r").select("home", "side", "r", "label", "s", "keys", "set")
+        return at.repartition("home").sortWithinPartitions("home").mapInPandas(_joining(containment, near, step, same, bands, votes), "a long, b long")
+
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    chunk = lambda n: F.pmod(F.hash("r"), F.col(n))
+    both = F.lit(3).alias("side")
+    places = found.select(F.xxhash64("hub", "parts", chunk("parts")).alias("home"), both, "r", F.col("r").alias("label"))
+    hubs = found.where("parts > 1").select("hub", "parts").distinct().withColumn("i", span("parts"))
+    links = stage(meet(places.unionByName(hubs.select(F.xxhash64("hub", "parts", "i").alias("home"), both, F.col("hub").alias("r"), F.col("hub").alias("label")))), "links")
+    large = found.where("parts > 1")
+    if large.isEmpty():
+        return links
+    label = F.coalesce("component", "r").alias("label")
+    large = stage(large.join(connected_components(links, "a", "b").withColumnRenamed("id", "r"), "r", "left").select("r", "key", "hub", "parts", label), "large")
+    most = F.max(F.struct("m", "label"))
+    by = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(most["label"].alias("most"), (F.sum("m") - most["m"]).alias("rest")).where("rest > 0")
+    large = large.join(by.select("key", "most", chunks(F.col("rest")).alias("others")), "key")
+    home = lambda i, j: F.xxhash64("hub", "parts", "others", i, j).alias("home")
+    one = large.withColumn("j", span("others")).select(home(chunk("parts"), F.col("j")), F.lit(1).alias("side"), "r", "label")
+    other = large.where("label <> most").withColumn("i", span("parts")).select(home(F.col("i"), chunk("others")), F.lit(2).alias("side"), "r", "label")
+    return links.unionByName(stage(meet(one.unionByName(other)), "links"))
+
+
 # ---- all of it ------------------------------------------------------------------------------------------------------
 
 
+def _rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Column]:
+    """(id, t) of each row, and what texts that are equal have in common."""
+    d = small_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    alone = F.col("id").isNull() | F.col("t").isNull() | (F.col("t") == "")
+    # a text that is null or empty has no equals: its class is its own id
+    return d, F.when(alone, F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary")).otherwise(F.unhex(F.md5(F.col("t").cast("binary"))))
+
+
+def groups(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, containment: float = CONTAINMENT, near: float = NEAR, step: float = STEP, votes: int = VOTES, miss: float = MISS, tile: int = TILE
+) -> DataFrame:
+    """doc_id, class_id and kept of each row, as :func:`near_duplicates` has them, without links and containers."""
+    same = bands_for(jaccard_at(containment, min(step, near)), miss, votes)
+    across = max(same, bands_for(jaccard_at(containment, near), miss, votes))
+    d, h = _rows(docs, key, text)
+    signed = d.select("id", h.alias("h"), F.when(F.col("id").isNotNull(), F.col("t")).alias("t")).mapInPandas(_sign(k, across, 0, 0), "id long, h binary, size long, keys array<long>, sketch array<long>")
+    grouped = signed.groupBy("h").agg(F.min(F.struct("id", "size", "keys")).alias("one"))
+    classes = stage(grouped.select("h", F.col("one.id").alias("rep"), "one.size", "one.keys"), "classes")
+    links = joining(classes.where(F.col("rep").isNotNull()), d, k, containment, same, across, near, step, votes, tile)
+    comps = connected_components(links, "a", "b")
+    about = classes.select("h", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    group = F.coalesce("component", "rep")
+    return d.select("id", h.alias("h")).join(about, "h").select(F.col("id").alias(key), group.alias("class_id"), F.coalesce(F.col("id") == group, F.lit(True)).alias("kept"))
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, containment: float = CONTAINMENT, near: float = NEAR, step: float = STEP, votes: int = VOTES, miss: float = MISS, whole: int = WHOLE, bottom: int = BOTTOM, need: int = NEED, tile: int = TILE
 ) -> DataFrame:
     """doc_id, class_id, copy_id, n_copies, n_links, n_containers, container_id, component_id, kept of each row."""
     same = bands_for(jaccard_at(containment, min(step, near)), miss, votes)
     across = max(same, bands_for(jaccard_at(containment, near), miss, votes))
-    d = small_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    alone = F.col("id").isNull() | F.col("t").isNull() | (F.col("t") == "")
-    # a text that is null or empty has no equals: its class is its own id
-    h = F.when(alone, F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary")).otherwise(F.unhex(F.md5(F.col("t").cast("binary"))))
+    d, h = _rows(docs, key, text)
     signed = d.select("id", h.alias("h"), F.when(F.col("id").isNotNull(), F.col("t")).alias("t")).mapInPandas(_sign(k, across, whole, bottom), "id long, h binary, size long, keys array<long>, sketch array<long>")
     grouped = signed.groupBy("h").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("id", "size", "keys", "sketch")).alias("one"))
     classes = stage(grouped.select("h", "n_copies", F.col("one.id").alias("rep"), "one.size", "one.keys", "one.sketch"), "classes")

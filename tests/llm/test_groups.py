@@ -190,6 +190,53 @@ def test_pairs_travel_as_lists(spark):
         assert {(r["a"], r["b"]): (r["votes"], r["tile"]) for r in got} == want and len(got) == len(want)
 
 
+def test_groups_are_those_of_all_links(spark):
+    """Groups equal those of all pairs, with buckets cut into chunks or not: clusters, chains and texts that share a passage only."""
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(n)]
+    edit = lambda t, share: [w if rng.random() > share else words(1)[0] for w in t]
+    passage, texts = words(40), []
+    for g in range(6):
+        base = words(rng.randint(60, 200))
+        texts += [edit(base, 0.05) for _ in range(12 if g else 50)]
+    for _ in range(5):
+        t = words(120)
+        for _ in range(8):  # each differs from the one before, so that the ends have little in common
+            texts.append(t)
+            t = edit(t, 0.1)
+    texts += [words(60) + passage for _ in range(30)] + [passage + words(10) for _ in range(10)] + [texts[3], None, [], texts[60]]
+    rng.shuffle(texts)
+    rows = [(i, None if x is None else " ".join(x)) for i, x in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r.doc_id: (r.class_id, r.kept) for r in near_dedup.near_duplicates(d).collect()}
+    assert 20 < sum(k for _, k in want.values()) < len(texts) - 100
+    for tile in (256, 8, 3):
+        assert {r.doc_id: (r.class_id, r.kept) for r in near_dedup.groups(d, tile=tile).collect()} == want
+    assert near_dedup.groups(d.limit(0)).count() == 0
+
+
+def test_pipeline_writes_no_table_of_pairs(spark, monkeypatch):
+    """What stage 2 writes grows with the documents, not with the pairs of a cluster, and is gone before the texts are shuffled."""
+    import corpus_pipeline as c
+
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    base = words(150)
+    texts = [" ".join(w if rng.random() > 0.03 else words(1)[0] for w in base) for _ in range(300)]
+    d = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    seen, real = [], near_dedup.stage
+
+    def stage(df, name):
+        out = real(df, name)
+        seen.append((name, out.count(), out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", stage)
+    assert [r.doc_id for r in c.near_duplicates(spark, d, "").collect()] == [0]
+    assert seen and all(n <= 300 for name, n, _ in seen if name != "buckets") and all(n <= 300 * 65 for _, n, _ in seen)
+    assert not [f for _, _, files in seen for f in files if os.path.exists(re.sub("^file:/+", "/", f))]
+
+
 def test_larger_texts_go_only_where_they_have_enough(spark, monkeypatch):
     """Of a larger text that shares a few shingles with a smaller one nothing is sent to a tile, of one that holds it only those; what is no use any more is deleted."""
     rng = random.Random(6)
