@@ -171,3 +171,52 @@ def test_search_equals_the_join(spark):
         key = lambda d: sorted((r.src, r.dst, round(r.dist, 7), r["rank"]) for r in d.collect())
         assert key(got) == key(want)
     assert setjoin.search(q.limit(0), ix, 3).count() == 0 and setjoin.search(q, ix.limit(0), 3).count() == 0
+
+
+def test_nearest_of_a_tile():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for words, k, low, top in ((1, 3, 0, 64), (1, 0, 2, 30), (2, 4, 50, 128), (5, 2, 0, 320), (1, 2, 0, 1)):
+        x, y = (rng.integers(0, 2**63, (rows, words), dtype=np.int64).view(np.uint64) for rows in (37, 3_000))
+        y[100:1200] = y[99]
+        x[5], x[6] = y[99], y[2000]
+        got = sorted(zip(*(p.tolist() for p in hamming._near(x, y, k, low, top))))
+        want = []
+        for i, a in enumerate(x):
+            near = sorted((d, j) for j, d in enumerate(np.bitwise_count(y ^ a).sum(axis=1, dtype=int).tolist()) if low <= d <= top)
+            want += [(i, j, d) for d, j in (near[:k] if k else near)]
+        assert got == sorted(want)
+
+
+def test_tiles_of_equal_codes_and_long_codes(spark):
+    """Equal codes leave a tile once, whatever the blocks; codes of several words; the join by masks gives the same as tiles."""
+    random.seed(6)
+    rows = [(i, [random.randint(0, 1) for _ in range(70)]) for i in range(40)] + [(i, [1] * 70) for i in range(100, 130)] + [(200, [1] * 10)]
+    c = code_table(spark, rows, 70)
+    whole = rows[:-1]  # a code that lacks words has no neighbours
+    short = spark.createDataFrame([(200, [5])], "id long, code array<long>")
+    c = c.where("id < 200").unionByName(short)
+    for k in (0, 3):
+        assert {(r.src, r.dst, r.dist) for r in hamming.exact(c, c, 70, k).collect()} == brute(whole, whole, k, 70)
+    places = list(range(0, 70, 5))
+    for k in (0, 2):
+        by = [sorted(tuple(r) for r in hamming.bucketed(c, c, 70, k, places, 4).collect())]
+        before, hamming.SHARE = hamming.SHARE, 1.0
+        try:
+            by.append(sorted(tuple(r) for r in hamming.bucketed(c, c, 70, k, places, 4).collect()))
+        finally:
+            hamming.SHARE = before
+        assert by[0] == by[1] and by[0]
+
+
+HAMMING = ["hbi_mutual_knn", "mutual_knn", "authority", "graph_hood_adjacency", "hamming_by_vecs", "hbi_exact_topk", "landmark_freq", "hamming_topk", "graph_knn_edges", "nystrom", "ann_probe_topk", "hamming_range"]
+
+
+def test_pairs_stay_in_their_tile(spark):
+    """No search joins queries with all rows: pairs meet in tiles, and only near ones leave them."""
+    from bitweave.plans import catalog
+
+    for name in HAMMING:
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInPandas" in plan, name
