@@ -220,3 +220,27 @@ def test_pairs_stay_in_their_tile(spark):
     for name in HAMMING:
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapCoGroupsInPandas" in plan, name
+
+
+def test_scan_of_sets_in_turns(spark, monkeypatch):
+    """Queries are sent in turns and rows never travel to them; features of weight 0 are shared too."""
+    rng = random.Random(8)
+    rows = [(i, f"f{rng.randint(0, 30)}") for i in range(80) for _ in range(6)] + [(i, "all") for i in range(80)]
+    meta = spark.createDataFrame([(f"f{i}", 0, 0.5 + i % 3) for i in range(31)] + [("all", 0, 0.0)], "feature string, rank int, weight double")
+    ix = setjoin.create(spark.createDataFrame(rows, "id long, feature string"), meta).cache()
+    q = ix.where("id % 3 = 0")
+    want = sorted((r.src, r.dst, round(r.dist, 7)) for r in setjoin.best(setjoin.similarities(q, ix).selectExpr("src", "dst", "round(1 - sim, 9) as dist"), 70).collect())
+    monkeypatch.setattr(setjoin, "SENT", 40)
+    monkeypatch.setattr(setjoin, "TAKEN", 30)
+    near = setjoin.search(q, ix, 70, digits=9, block=7, rows=9)
+    assert sorted((r.src, r.dst, round(r.dist, 7)) for r in near.collect()) == want
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PythonMapInArrow" in plan or "MapInArrow" in plan
+    assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_sets_of_repeated_ids_are_one(spark):
+    from bitweave.plans import catalog
+
+    texts = spark.createDataFrame([(1, "aa bb a"), (1, "bb CC"), (2, None), (None, "dd")], "id long, text string")
+    assert {r.id: len(r.f) for r in catalog.sets_of(texts).collect()} == {1: 3, 2: 0}
