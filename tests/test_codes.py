@@ -244,3 +244,18 @@ def test_sets_of_repeated_ids_are_one(spark):
 
     texts = spark.createDataFrame([(1, "aa bb a"), (1, "bb CC"), (2, None), (None, "dd")], "id long, text string")
     assert {r.id: len(r.f) for r in catalog.sets_of(texts).collect()} == {1: 3, 2: 0}
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 15), min_size=1, max_size=9), min_size=2, max_size=12), st.sampled_from([0.2, 0.5, 1.0]))
+def test_near_pairs_against_all(spark, sets, least):
+    ix = setjoin.create(spark.createDataFrame([(i, f) for i, s in enumerate(sets) for f in s], "id long, feature long"))
+    want = {(i, j): round(1 - len(a & b) / len(a | b), 9) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and len(a & b) / len(a | b) >= least}
+    assert {(r.src, r.dst): r.dist for r in setjoin.near_pairs(ix, least).collect()} == want
+
+
+def test_basket_pairs_are_not_shuffled(spark):
+    from bitweave.plans import catalog
+
+    plan = catalog.QUERIES["index_neighborhoods"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and plan.index("array_intersect") < plan.index("Join") and "groupBy" not in plan.split("Join")[0] and "Aggregate" not in plan.split("Join")[0]
