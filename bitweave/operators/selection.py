@@ -20,16 +20,31 @@ def document_frequency(bits: DataFrame, n: int | None = None, min_df: int = 1, m
 
 
 def contingency(bits: DataFrame, labels: DataFrame) -> DataFrame:
-    """(feature, label, n11, n1x, nx1, n): rows with both, with the feature, with the label, all. Labels are few."""
+    """(feature, label, n11, n1x, nx1, n): rows with both, with the feature, with the label, all. Labels are few.
+
+    ``bits`` are (id, feature), or sets (id, features) of distinct features, one row an id, which are labelled before they
+    are taken apart. One row of counts a feature is shuffled.
+    """
     lab = labels.select("id", "label").where("label is not null")
     per_label = lab.groupBy("label").count().orderBy("label").collect()
     n = sum(r["count"] for r in per_label)
     kind = dict(lab.dtypes)["label"]
-    each = F.array(*[F.struct(F.lit(r["label"]).cast(kind).alias("label"), F.lit(r["count"]).alias("nx1")) for r in per_label]) if per_label else F.array().cast(f"array<struct<label:{kind},nx1:bigint>>")
-    both = bits.distinct().join(lab, "id").groupBy("feature", "label").agg(F.count(F.lit(1)).alias("n11"))
-    feats = both.groupBy("feature").agg(F.sum("n11").alias("n1x"))
-    grid = feats.withColumn("_e", F.explode(each)).select("feature", "n1x", "_e.label", "_e.nx1", F.lit(n).alias("n"))
-    return grid.join(both, ["feature", "label"], "left").withColumn("n11", F.coalesce("n11", F.lit(0)))
+    if not per_label:
+        return bits.sparkSession.createDataFrame([], f"feature {_feature_kind(bits)}, label {kind}, n11 bigint, n1x bigint, nx1 bigint, n bigint")
+    if "features" in bits.columns:
+        own = bits.join(lab, "id").select(F.explode("features").alias("feature"), "label")
+    else:
+        own = bits.join(lab.select("id").distinct(), "id", "left_semi").distinct().join(lab, "id")
+    count = lambda v: F.count(F.when(F.col("label") == F.lit(v).cast(kind), 1))
+    wide = own.where("feature is not null").groupBy("feature").agg(*[count(r["label"]).alias(f"n{i}") for i, r in enumerate(per_label)])
+    n1x = sum((F.col(f"n{i}") for i in range(1, len(per_label))), F.col("n0"))
+    each = F.array(*[F.struct(F.lit(r["label"]).cast(kind).alias("label"), F.col(f"n{i}").alias("n11"), F.lit(r["count"]).alias("nx1")) for i, r in enumerate(per_label)])
+    return wide.select("feature", n1x.alias("n1x"), F.explode(each).alias("_e")).select("feature", "_e.label", "_e.n11", "n1x", "_e.nx1", F.lit(n).alias("n"))
+
+
+def _feature_kind(bits: DataFrame) -> str:
+    kinds = dict(bits.dtypes)
+    return kinds["feature"] if "feature" in kinds else kinds["features"][len("array<") : -1]
 
 
 def _cells() -> list[tuple[Column, Column]]:

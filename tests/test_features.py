@@ -90,3 +90,29 @@ def test_persist_and_load(spark, tmp_path):
     assert tables["codes"].collect() == d.collect() and params == {"n": 64}
     tables, params = store.from_text(spark, store.to_text({"codes": d}, {"n": 1}))
     assert tables["codes"].collect() == d.collect()
+
+
+def test_sets_are_labelled_before_they_are_taken_apart(spark):
+    bits = [(1, "a"), (2, "a"), (3, "b"), (4, "b"), (1, "c"), (3, "c"), (9, "z")]
+    lab = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0), (4, 1), (7, 0), (1, None)], "id long, label int")
+    sets = spark.createDataFrame([(i, [f for j, f in bits if j == i]) for i in (1, 2, 3, 4, 9)] + [(7, [])], "id long, features array<string>")
+    whole = selection.contingency(spark.createDataFrame(bits + bits[:2], "id long, feature string"), lab)
+    apart = selection.contingency(sets, lab)
+    key = lambda t: sorted(tuple(r) for r in t.select("feature", "label", "n11", "n1x", "nx1", "n").collect())
+    assert key(apart) == key(whole) and ("a", 0, 0, 2, 3, 6) in key(apart) and len(key(apart)) == 6
+    assert "join" not in apart._jdf.queryExecution().optimizedPlan().toString().lower().split("generate")[1].split("\n")[0]
+    none = selection.contingency(sets, lab.where("false"))
+    assert none.count() == 0 and none.columns == apart.columns
+
+
+def test_simhash_of_sets(spark, monkeypatch):
+    from bitweave.operators import setjoin, simhash
+
+    monkeypatch.setattr(simhash, "TAKEN", 4)
+    rows = {i: [f"w{j * i % 17}é" for j in range(i % 7)] for i in range(30)}
+    sets = spark.createDataFrame([(i, sorted(set(f))) for i, f in rows.items()], "id long, features array<string>")
+    bits = spark.createDataFrame([(i, x) for i, f in rows.items() for x in f], "id long, feature string")
+    for n in (16, 40):
+        got = {r.id: list(r.code) for r in simhash.encode_sets(sets, n).collect()}
+        assert got == {r.id: list(r.code) for r in simhash.encode(setjoin.create(bits), n).collect()} and got
+        assert "Exchange" not in simhash.encode_sets(sets, n)._jdf.queryExecution().executedPlan().toString()
