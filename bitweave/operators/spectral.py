@@ -1,13 +1,15 @@
 """Laplacian eigenvectors of a weighted graph.
 
-Small graphs (``dense_nodes`` at most) are solved densely on the driver, whose memory that number bounds. Larger ones go
-through subspace iteration with a Chebyshev filter, whose products are joins of the edges with the block of vectors; only
+Small graphs (``dense_nodes`` at most) are solved densely on the driver, whose memory that number bounds. Larger ones that
+are narrow, such as rings and chains, are solved there by levels, with a bound on what that holds. All others go through
+subspace iteration with a Chebyshev filter, whose products are joins of the edges with the block of vectors; only
 block x block sums reach the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from bitweave.operators.graph import symmetric
 from bitweave.session import stage
 
 DENSE_NODES = 3_000
+#: Nodes, entries off the diagonal and numbers of the factors that the driver holds at most where it solves by levels.
+LEVEL_NODES, LEVEL_ENTRIES, LEVEL_CELLS = 1_000_000, 6_000_000, 50_000_000
 
 
 def laplacian(edges: DataFrame, nodes: DataFrame, kind: str = "unnormalized") -> tuple[DataFrame, DataFrame]:
@@ -53,6 +57,116 @@ def _turn(a: DataFrame, m: np.ndarray) -> DataFrame:
     return a.select("i", F.array(*cols).alias("x"))
 
 
+def _levels(n: int, i: np.ndarray, j: np.ndarray, least: int = 32) -> tuple[np.ndarray, np.ndarray] | None:
+    """(order, begin): nodes by breadth-first levels, in blocks of whole levels, of ``least`` nodes or more; an edge stays in
+    its block or goes to one beside it. None if that takes more than LEVEL_CELLS numbers. i is sorted.
+    """
+    start = np.searchsorted(i, np.arange(n + 1))
+    seen, blocks, waiting, cells, at = np.zeros(n, bool), [], [], 0, 0
+
+    def level(front: np.ndarray) -> np.ndarray:
+        size = start[front + 1] - start[front]
+        near = j[np.arange(size.sum()) + np.repeat(start[front] - np.cumsum(size) + size, size)]
+        near = np.unique(near[~seen[near]])
+        seen[near] = True
+        return near
+
+    alone = np.flatnonzero(start[1:] == start[:-1])
+    seen[alone] = True
+    blocks += [alone[b : b + least] for b in range(0, len(alone), least)]
+    while at < n:
+        if seen[at]:
+            at += 1
+            continue
+        front, far = np.array([at]), at
+        seen[at] = True
+        mine = [front]
+        while len(front := level(front)):
+            mine.append(front)
+        far, whole = mine[-1][0], np.concatenate(mine)
+        seen[whole] = False  # again, from one of the farthest nodes: levels are narrower
+        front = np.array([far])
+        seen[far] = True
+        while len(front):
+            waiting.append(front)
+            if sum(map(len, waiting)) >= least:
+                blocks.append(np.concatenate(waiting))
+                cells += len(blocks[-1]) ** 2 + (len(blocks[-1]) * len(blocks[-2]) if len(blocks) > 1 else 0)
+                waiting = []
+                if cells > LEVEL_CELLS:
+                    return None
+            front = level(front)
+    if waiting:
+        blocks.append(np.concatenate(waiting))
+    return np.concatenate(blocks), np.cumsum([0, *map(len, blocks)])
+
+
+def _by_levels(diag: np.ndarray, i: np.ndarray, j: np.ndarray, v: np.ndarray, want: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ``want`` smallest eigenpairs of a Laplacian by inverse iteration: its blocks by levels are tridiagonal.
+
+    Blocks are eliminated one behind the other, so time and memory grow with nodes times the width of a level.
+    """
+    n = len(diag)
+    order = np.lexsort((j, i))
+    i, j, v = i[order], j[order], v[order]
+    found = _levels(n, i, j)
+    if found is None:
+        return None
+    order, begin = found
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    a, b, d = place[i], place[j], diag[order]
+    top = float((np.bincount(i, np.abs(v), n) + diag).max()) or 1.0
+    shift = 1e-10 * top
+    by = np.argsort(a, kind="stable")
+    a, b, v = a[by], b[by], v[by]
+    cut = np.searchsorted(a, begin)
+    inverse, below, last = [], [], None
+    for t in range(len(begin) - 1):
+        first, size = begin[t], begin[t + 1] - begin[t]
+        x, y, w = a[cut[t] : cut[t + 1]] - first, b[cut[t] : cut[t + 1]], v[cut[t] : cut[t + 1]]
+        m = np.diag(d[first : first + size] + shift)
+        own = (y >= first) & (y < first + size)
+        np.add.at(m, (x[own], y[own] - first), w[own])
+        if t:
+            c = np.zeros((size, begin[t] - begin[t - 1]))
+            back = y < first
+            np.add.at(c, (x[back], y[back] - begin[t - 1]), w[back])
+            m -= c @ last @ c.T
+            below.append(c)
+        last = np.linalg.inv(m)
+        last = (last + last.T) / 2
+        inverse.append(last)
+
+    def solve(z: np.ndarray) -> np.ndarray:
+        out = z.copy()
+        for t in range(1, len(inverse)):
+            out[begin[t] : begin[t + 1]] -= below[t - 1] @ (inverse[t - 1] @ out[begin[t - 1] : begin[t]])
+        for t in range(len(inverse) - 1, -1, -1):
+            own = out[begin[t] : begin[t + 1]]
+            if t + 1 < len(inverse):
+                own = own - below[t].T @ out[begin[t + 1] : begin[t + 2]]
+            out[begin[t] : begin[t + 1]] = inverse[t] @ own
+        return out
+
+    def times(z: np.ndarray) -> np.ndarray:
+        return np.stack([d * z[:, c] + np.bincount(a, v * z[b, c], n) for c in range(z.shape[1])], axis=1)
+
+    z = np.random.default_rng(7).standard_normal((n, min(n, want + 6)))
+    for _ in range(rounds):
+        z, _r = np.linalg.qr(solve(z))
+        lz = times(z)
+        h = z.T @ lz
+        values, turn = np.linalg.eigh((h + h.T) / 2)
+        z, lz = z @ turn, lz @ turn
+        left = np.linalg.norm(lz[:, :want] - z[:, :want] * values[:want], axis=0)
+        if (left <= 1e-13 * top + 1e-9 * np.abs(values[:want])).all():
+            break
+    back = np.empty_like(z)
+    back[order] = z
+    return values[:want], back[:, :want]
+
+
 def eigen(edges: DataFrame, nodes: DataFrame, n: int, kind: str = "unnormalized", eps: float = 1e-8, rounds: int = 60, dense_nodes: int = DENSE_NODES) -> tuple[DataFrame, np.ndarray]:
     """(id, z array<double>, scale) and the eigenvalues: the n smallest pairs, without the constant one if its value is 0.
 
@@ -64,7 +178,16 @@ def eigen(edges: DataFrame, nodes: DataFrame, n: int, kind: str = "unnormalized"
     if count == 0:
         raise ValueError("the graph has no nodes")
     want = min(n + 1, count)
-    if count <= dense_nodes:
+    solved = None
+    if dense_nodes < count <= LEVEL_NODES and off.count() <= LEVEL_ENTRIES:
+        d, o = diag.orderBy("i").toArrow(), off.toArrow()
+        ids = d["i"].to_numpy()
+        solved = _by_levels(d["diag"].to_numpy(), np.searchsorted(ids, o["i"].to_numpy()), np.searchsorted(ids, o["j"].to_numpy()), o["v"].to_numpy(), want)
+    if solved:
+        values, vectors = solved
+        x = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), len(values)).cast(pa.list_(pa.float64()))
+        z = stage(edges.sparkSession.createDataFrame(pa.table({"i": d["i"].combine_chunks(), "x": x, "scale": d["scale"].combine_chunks()})), "vectors")
+    elif count <= dense_nodes:
         d, o = diag.toPandas().sort_values("i", ignore_index=True), off.toPandas()
         at = {v: k for k, v in enumerate(d["i"])}
         a = np.diag(d["diag"].to_numpy())
