@@ -27,9 +27,9 @@ class Booleanizer:
 
     def fit(self, rows: DataFrame) -> DataFrame:
         seen = self.observe(rows)
-        text = F.max(F.col("value_str").isNotNull()).over(Window.partitionBy("attr"))
+        text = seen.groupBy("attr").agg(F.max(F.col("value_str").isNotNull()).alias("text"))  # attributes are few, their values aren't
         forced = F.when(F.col("attr").isin(*self.continuous), F.lit(False)).when(F.col("attr").isin(*self.categorical), F.lit(True)) if self.continuous or self.categorical else F.lit(None).cast("boolean")
-        seen = seen.withColumn("is_cat", F.coalesce(forced, text))
+        seen = seen.join(F.broadcast(text), "attr").withColumn("is_cat", F.coalesce(forced, F.col("text"))).drop("text")
         cats = seen.where("is_cat").select("attr", F.coalesce("value_str", F.col("value_num").cast("string")).alias("value_str")).distinct()
         cats = cats.select("attr", F.lit("categorical").alias("kind"), "value_str", F.lit(None).cast("double").alias("threshold"))
         number = F.coalesce("value_num", F.expr("try_cast(value_str as double)"))
@@ -61,13 +61,13 @@ def thresholds(values: DataFrame, n: int) -> DataFrame:
 
 def encode(rows: DataFrame, bits: DataFrame, inclusive: bool = False) -> DataFrame:
     """(id, bit) of each value: its category, or the thresholds below it (``inclusive``: or equal to it, as for matrices)."""
-    cat = bits.where("kind = 'categorical'").select("attr", F.col("value_str").alias("_v"), "bit")
+    cat = bits.where("kind = 'categorical'").select("attr", F.col("value_str").alias("_t"), "bit")
     text = F.coalesce("value_str", F.col("value_num").cast("double").cast("string"))
-    a = rows.withColumn("_t", text).join(cat, "attr").where("_t = _v").select("id", "bit")
+    a = rows.withColumn("_t", text).join(cat, ["attr", "_t"]).select("id", "bit")  # by value too: an attribute holds any number of rows
     cont = bits.where("kind = 'continuous'").groupBy("attr").agg(F.collect_list(F.struct("threshold", "bit")).alias("ts"))
     x = F.coalesce(F.col("value_num").cast("double"), F.expr("try_cast(value_str as double)"))
     over = (lambda t: F.col("_x") >= t["threshold"]) if inclusive else (lambda t: F.col("_x") > t["threshold"])
-    b = rows.withColumn("_x", x).where("_x is not null").join(cont, "attr").select("id", F.explode(F.filter("ts", over)).alias("t")).select("id", "t.bit")
+    b = rows.withColumn("_x", x).where("_x is not null").join(F.broadcast(cont), "attr").select("id", F.explode(F.filter("ts", over)).alias("t")).select("id", "t.bit")
     return a.unionByName(b).distinct()
 
 

@@ -116,3 +116,14 @@ def test_simhash_of_sets(spark, monkeypatch):
         got = {r.id: list(r.code) for r in simhash.encode_sets(sets, n).collect()}
         assert got == {r.id: list(r.code) for r in simhash.encode(setjoin.create(bits), n).collect()} and got
         assert "Exchange" not in simhash.encode_sets(sets, n)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bits_join_by_value_not_by_attribute(spark):
+    from bitweave.operators import booleanizer
+
+    rows = spark.createDataFrame([(i, "c", f"v{i % 3}", None) for i in range(30)] + [(i, "x", None, float(i)) for i in range(30)], "id long, attr string, value_str string, value_num double")
+    b = booleanizer.Booleanizer(n_thresholds=3).fit(rows)
+    plan = booleanizer.encode(rows, b)._jdf.queryExecution().optimizedPlan().toString()
+    keys = [x for x in plan.split("\n") if "Join Inner" in x]
+    assert any("_t" in x and "attr" in x for x in keys) and any("strategy=broadcast" in x for x in keys)
+    assert booleanizer.encode(rows, b).count() == 30 + 22 + 15 + 8
