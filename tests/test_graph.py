@@ -140,3 +140,44 @@ def test_cluster_and_cuts(spark):
     assert len(list(cluster.cuts(initial, merges))) == 3
     assert cluster.quality(initial, codes, 8).first().quality == 1.0
     assert cluster.members(initial).count() == 3
+
+
+def test_spectral_by_levels(spark, monkeypatch):
+    """Rings of some thousand nodes, apart from each other and from lone nodes, against dense algebra; else the iteration as before."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 700
+    pairs = [(i, i + k) for k in (1, 2, 3) for i in range(n - k) if not (i < 500 <= i + k)]
+    name = rng.permutation(n + 3)
+    i, j = (np.array([name[p[s]] for p in pairs] + [name[p[1 - s]] for p in pairs]) for s in (0, 1))
+    w = np.tile(rng.uniform(0.2, 1.0, len(pairs)), 2)
+    diag = np.bincount(i, w, n + 3)
+    values, vectors = spectral._by_levels(diag, i, j, -w, 9)
+    a = np.diag(diag)
+    np.add.at(a, (i, j), -w)
+    assert np.allclose(values, np.linalg.eigvalsh(a)[:9], atol=1e-12) and np.allclose(a @ vectors, vectors * values, atol=1e-10)
+    order, begin = spectral._levels(n + 3, np.sort(i), j[np.argsort(i, kind="stable")])
+    block = np.searchsorted(begin, np.argsort(order), side="right")
+    assert sorted(order) == list(range(n + 3)) and (np.abs(block[i] - block[j]) <= 1).all()
+    monkeypatch.setattr(spectral, "LEVEL_CELLS", 100)
+    assert spectral._by_levels(diag, i, j, -w, 9) is None
+
+
+def test_spectral_iteration_without_levels(spark, monkeypatch):
+    e = edges(spark, [(i, (i + k) % 14, 1.0 / k) for i in range(14) for k in (1, 2)], "src long, dst long, weight double")
+    nodes = edges(spark, [(i,) for i in range(14)], "id long")
+    by_levels = spectral.eigen(e, nodes, 3, "normalized", dense_nodes=5)[1]
+    monkeypatch.setattr(spectral, "LEVEL_NODES", 0)
+    assert abs(by_levels - spectral.eigen(e, nodes, 3, "normalized", dense_nodes=5)[1]).max() < 1e-6
+
+
+def test_contraction_counts_before_it_collects(spark, monkeypatch):
+    from bitweave.operators import graph
+
+    links = edges(spark, [(i, i + 1) for i in range(0, 40) if i % 4 != 3], "src long, dst long").repartition(8)
+    here = sorted(tuple(r) for r in graph._contract(links).collect())
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 5)
+    limit = type(links).limit
+    monkeypatch.setattr(type(links), "limit", lambda df, n: limit(df, n) if n == 1 else 1 / 0)
+    assert sorted(tuple(r) for r in graph._contract(links).collect()) == here
